@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from provend.operators import aggregates as agg
 from provend.operators import forecast as fc
-from provend.operators import linking, ranking
+from provend.operators import linking, ranking, risk
 from provend.plans import oracle as O
 from provend.sources import testdata as td
 
@@ -209,6 +209,127 @@ def q_supplier_caps(spark, d):
     return caps.select(*[r6(c).alias(c) for c in caps.columns])
 
 
+# ---------------------------------------------------------------- supplier risk
+
+RISK_SQL = """valid AS (SELECT supplier, total_spend_volume, median_lead_time, std_lead_time, observation_count
+            FROM matrix WHERE is_valid),
+rk AS (
+  SELECT v.*,
+    (RANK() OVER (ORDER BY total_spend_volume) - 1 + (COUNT(*) OVER (PARTITION BY total_spend_volume) + 1) / 2)
+      / COUNT(*) OVER () AS spend_pct,
+    (RANK() OVER (ORDER BY median_lead_time) - 1 + (COUNT(*) OVER (PARTITION BY median_lead_time) + 1) / 2)
+      / COUNT(*) OVER () AS lt_med_pct,
+    (RANK() OVER (ORDER BY std_f) - 1 + (COUNT(*) OVER (PARTITION BY std_f) + 1) / 2)
+      / COUNT(*) OVER () AS lt_std_pct
+  FROM (SELECT *, COALESCE(std_lead_time, (SELECT MEDIAN(std_lead_time) FROM valid)) AS std_f FROM valid) v),
+scored AS (
+  SELECT *, lt_med_pct * 0.4 + lt_std_pct * 0.4 + (1.0 - spend_pct) * 0.2 AS risk_score FROM rk),
+tiers AS (
+  SELECT *, CASE WHEN risk_score <= 0.33 THEN 'Low Risk' WHEN risk_score <= 0.66 THEN 'Medium Risk'
+                 ELSE 'High Risk' END AS risk_tier FROM scored),
+caps AS (SELECT quantile_cont(total_spend_volume, 0.95) AS cs, quantile_cont(median_lead_time, 0.95) AS cm,
+                quantile_cont(std_lead_time, 0.95) AS cd FROM valid),
+feat AS (
+  SELECT v.*, ln(1 + GREATEST(LEAST(total_spend_volume, cs), 0.0)) AS spend_log,
+         LEAST(median_lead_time, cm) AS lt_median, LEAST(std_lead_time, cd) AS lt_std
+  FROM valid v, caps),
+qs AS (
+  SELECT quantile_cont(spend_log, [0.25, 0.5, 0.75]) AS qa, quantile_cont(lt_median, [0.25, 0.5, 0.75]) AS qb,
+         quantile_cont(lt_std, [0.25, 0.5, 0.75]) AS qc FROM feat),
+scaled AS (
+  SELECT f.*,
+    (spend_log - qa[2]) / CASE WHEN qa[3] - qa[1] = 0 THEN 1.0 ELSE qa[3] - qa[1] END AS spend_log_scaled,
+    (lt_median - qb[2]) / CASE WHEN qb[3] - qb[1] = 0 THEN 1.0 ELSE qb[3] - qb[1] END AS lt_median_scaled,
+    (lt_std - qc[2]) / CASE WHEN qc[3] - qc[1] = 0 THEN 1.0 ELSE qc[3] - qc[1] END AS lt_std_scaled
+  FROM feat f, qs)"""
+
+RISK_BASE = (O.PV, O.POV, O.GRN, O.LINKS, O.SUPPLIER_MATRIX, RISK_SQL)
+
+
+def valid_matrix(spark, d):
+    from provend.session import materialize
+    return materialize(matrix(spark, d).where("is_valid").select(*risk.MATRIX_COLS))
+
+
+def scaled_features(spark, d):
+    return risk.robust_scale(risk.supplier_features(valid_matrix(spark, d)), risk.FEATURES)
+
+
+@query("rank_pct", O.with_(O.PV) + """
+SELECT doc_date, voucher_no, supplier, item, qty,
+       ROUND((RANK() OVER (ORDER BY qty) - 1 + (COUNT(*) OVER (PARTITION BY qty) + 1) / 2)
+             / COUNT(*) OVER (), 6) AS qty_pct
+FROM pv WHERE qty IS NOT NULL""")
+def q_rank_pct(spark, d):
+    p = pv(spark, d).where(F.col("qty").isNotNull()).select("doc_date", "voucher_no", "supplier", "item", "qty")
+    return ranking.rank_pct(p, "qty", "qty_pct").withColumn("qty_pct", r6("qty_pct"))
+
+
+@query("supplier_features", O.with_(*RISK_BASE) + """
+SELECT supplier, ROUND(spend_log, 6) AS spend_log, ROUND(lt_median, 6) AS lt_median, ROUND(lt_std, 6) AS lt_std
+FROM feat""")
+def q_supplier_features(spark, d):
+    f = risk.supplier_features(valid_matrix(spark, d))
+    return f.select("supplier", *[r6(c).alias(c) for c in risk.FEATURES])
+
+
+@query("robust_scale", O.with_(*RISK_BASE) + """
+SELECT supplier, ROUND(spend_log_scaled, 6) AS spend_log_scaled, ROUND(lt_median_scaled, 6) AS lt_median_scaled,
+       ROUND(lt_std_scaled, 6) AS lt_std_scaled FROM scaled""")
+def q_robust_scale(spark, d):
+    f = scaled_features(spark, d)
+    return f.select("supplier", *[r6(c + "_scaled").alias(c + "_scaled") for c in risk.FEATURES])
+
+
+@query("supplier_risk_quantile", O.with_(*RISK_BASE) + """
+SELECT supplier, ROUND(spend_pct, 6) AS spend_pct, ROUND(lt_med_pct, 6) AS lt_med_pct,
+       ROUND(lt_std_pct, 6) AS lt_std_pct, ROUND(risk_score, 6) AS risk_score, risk_tier FROM tiers""")
+def q_supplier_risk_quantile(spark, d):
+    t = risk.quantile_tiers(valid_matrix(spark, d))
+    return t.select("supplier", *[r6(c).alias(c) for c in ["spend_pct", "lt_med_pct", "lt_std_pct", "risk_score"]],
+                    "risk_tier")
+
+
+@query("supplier_risk_colour", O.with_(*RISK_BASE) + """
+SELECT supplier, risk_tier, CASE WHEN upper(risk_tier) LIKE '%HIGH%' THEN 'red'
+                                 WHEN upper(risk_tier) LIKE '%MEDIUM%' THEN 'yellow'
+                                 WHEN upper(risk_tier) LIKE '%LOW%' THEN 'green' END AS risk_colour
+FROM tiers""")
+def q_supplier_risk_colour(spark, d):
+    from provend.functions.exprs import risk_colour
+    t = risk.quantile_tiers(valid_matrix(spark, d))
+    return t.select("supplier", "risk_tier", risk_colour("risk_tier").alias("risk_colour"))
+
+
+@query("silhouette", O.with_(*RISK_BASE) + """,
+pts AS (SELECT s.supplier, CASE t.risk_tier WHEN 'Low Risk' THEN 0 WHEN 'Medium Risk' THEN 1 ELSE 2 END AS label,
+               spend_log_scaled AS x1, lt_median_scaled AS x2, lt_std_scaled AS x3
+        FROM scaled s JOIN tiers t ON s.supplier = t.supplier),
+per AS (SELECT p.supplier, p.label, q.label AS ql,
+               SUM(sqrt((p.x1 - q.x1) ^ 2 + (p.x2 - q.x2) ^ 2 + (p.x3 - q.x3) ^ 2)) AS sd
+        FROM pts p JOIN pts q ON p.supplier <> q.supplier GROUP BY p.supplier, p.label, q.label),
+cnt AS (SELECT label, COUNT(*) AS c FROM pts GROUP BY label),
+ab AS (SELECT p.supplier, p.label, COALESCE(MAX(sd / (c.c - 1)) FILTER (WHERE ql = p.label), 0.0) AS a,
+              MIN(sd / c2.c) FILTER (WHERE ql <> p.label) AS b, MAX(c.c) AS own_c
+       FROM pts p LEFT JOIN per ON per.supplier = p.supplier JOIN cnt c ON c.label = p.label
+            LEFT JOIN cnt c2 ON c2.label = per.ql
+       GROUP BY p.supplier, p.label)
+SELECT supplier, label, ROUND(a, 6) AS a, ROUND(b, 6) AS b,
+       ROUND(CASE WHEN own_c = 1 THEN 0.0 ELSE (b - a) / GREATEST(a, b) END, 6) AS silhouette FROM ab""")
+def q_silhouette(spark, d):
+    f = scaled_features(spark, d)
+    t = risk.quantile_tiers(valid_matrix(spark, d)).select("supplier", "risk_tier")
+    lab = F.when(F.col("risk_tier") == risk.LOW, 0).when(F.col("risk_tier") == risk.MEDIUM, 1).otherwise(2)
+    pts = f.join(t, "supplier").withColumn("label", lab.cast("int"))
+    s = risk.silhouette_points(pts, [c + "_scaled" for c in risk.FEATURES], "label", "supplier")
+    return s.select("supplier", "label", *[r6(c).alias(c) for c in ["a", "b", "silhouette"]])
+
+
+@query("supplier_risk")
+def q_supplier_risk(spark, d):
+    return risk.segment_suppliers(matrix(spark, d))
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
