@@ -101,5 +101,11 @@ def money_sum(c: str | Column, scale: int = 2) -> Column:
     return F.coalesce(F.sum(col(c).cast(dec)), F.lit(0).cast(dec))
 
 
+def mape_percent(frac: str | Column) -> Column:
+    """A MAPE fraction as a percentage with 2 decimals, rounding half up on the binary value
+    (``floor(x * 10000 + 0.5) / 100``) so every engine gets the same double."""
+    return F.floor(col(frac) * 10000.0 + 0.5) / 100.0
+
+
 def ceil_growth(c: str | Column, growth: float) -> Column:
     return F.ceil(col(c) * F.lit(growth)).cast("double")

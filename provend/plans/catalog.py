@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from provend.operators import aggregates as agg
 from provend.operators import forecast as fc
+from provend.functions.exprs import mape_percent
 from provend.operators import linking, ranking, risk
+from provend.operators import series as ser
 from provend.plans import oracle as O
 from provend.sources import testdata as td
 
@@ -330,6 +332,115 @@ def q_supplier_risk(spark, d):
     return risk.segment_suppliers(matrix(spark, d))
 
 
+# ---------------------------------------------------------------- monthly series and model inputs
+
+SER = (O.PV, O.SERIES)
+
+
+@query("monthly_series_sparse", O.with_(*SER) + "SELECT * FROM sparse")
+def q_monthly_series_sparse(spark, d):
+    return ser.sparse_series(pv(spark, d)).withColumn("time_idx", F.col("time_idx").cast("long"))
+
+
+@query("monthly_series_dense", O.with_(*SER) + "SELECT * FROM dense")
+def q_monthly_series_dense(spark, d):
+    return ser.dense_series(pv(spark, d))
+
+
+@query("train_test_split", O.with_(*SER) +
+       "SELECT item, supplier, month_start, qty, time_idx, n_points, split FROM split")
+def q_train_test_split(spark, d):
+    s = ser.train_test_split(ser.sparse_series(pv(spark, d)))
+    return s.select("item", "supplier", "month_start", "qty", F.col("time_idx").cast("long").alias("time_idx"),
+                    "n_points", "split")
+
+
+@query("training_baseline_mape", O.with_(*SER) + """
+SELECT item, supplier, n_points, status, ROUND(train_mean, 6) AS train_mean, ROUND(baseline_mape, 6) AS baseline_mape
+FROM bmape""")
+def q_training_baseline_mape(spark, d):
+    b = ser.baseline_mape(ser.sparse_series(pv(spark, d)))
+    return b.select("item", "supplier", "n_points", "status", r6("train_mean").alias("train_mean"),
+                    r6("baseline_mape").alias("baseline_mape"))
+
+
+def level_mape(spark, d):
+    """Positive-only in-sample MAPE of each pair's dense series against its own mean level."""
+    dense = ser.dense_series(pv(spark, d))
+    lvl = dense.groupBy("item", "supplier").agg(F.avg("qty").alias("_level"))
+    return dense.join(lvl, ["item", "supplier"]).groupBy("item", "supplier") \
+        .agg(ser.positive_mape("qty", "_level").alias("level_mape_pos"), F.count(F.lit(1)).alias("n_months"))
+
+
+LEVEL_SQL = """lvl AS (
+  SELECT item, supplier, AVG(CASE WHEN qty > 0 THEN abs(qty - level) / qty END) AS level_mape_pos,
+         COUNT(*) AS n_months
+  FROM (SELECT *, AVG(qty) OVER (PARTITION BY item, supplier) AS level FROM dense) x GROUP BY item, supplier)"""
+
+
+@query("mape_metrics", O.with_(*SER, LEVEL_SQL) + """
+SELECT b.item, b.supplier, ROUND(b.baseline_mape, 6) AS baseline_mape, ROUND(l.level_mape_pos, 6) AS level_mape_pos
+FROM bmape b JOIN lvl l ON b.item = l.item AND b.supplier = l.supplier""")
+def q_mape_metrics(spark, d):
+    b = ser.baseline_mape(ser.sparse_series(pv(spark, d)))
+    lv = level_mape(spark, d)
+    return b.join(lv, ["item", "supplier"]).select(
+        "item", "supplier", r6("baseline_mape").alias("baseline_mape"), r6("level_mape_pos").alias("level_mape_pos"))
+
+
+@query("boosted_features", O.with_(O.PV, O.DEMAND) + """
+SELECT item, supplier, unit, CAST(s AS INTEGER) AS step, months_covered + s AS time_idx,
+       CAST((months_covered + s) % 12 + 1 AS INTEGER) AS month,
+       CAST(((months_covered + s) // 3) % 4 + 1 AS INTEGER) AS quarter
+FROM demand, range(3) t(s)""")
+def q_boosted_features(spark, d):
+    return ser.forecast_features(demand(spark, d))
+
+
+@query("hw_eligibility", O.with_(O.PV, O.DEMAND, O.SERIES) + """
+SELECT d.item, d.supplier, d.unit, l.n_months, COALESCE(l.n_months, 0) >= 24 AS eligible,
+       CASE WHEN COALESCE(l.n_months, 0) >= 24 THEN NULL ELSE 'Baseline Average (Sparsity Fallback)' END
+         AS fallback_algorithm
+FROM demand d LEFT JOIN dlen l ON d.item = l.item AND d.supplier = l.supplier""")
+def q_hw_eligibility(spark, d):
+    dem = demand(spark, d).select("item", "supplier", "unit")
+    ln = ser.dense_lengths(pv(spark, d))
+    el = F.coalesce(F.col("n_months"), F.lit(0)) >= 24
+    return dem.join(ln, ["item", "supplier"], "left").select(
+        "item", "supplier", "unit", "n_months", el.alias("eligible"),
+        F.when(~el, F.lit(fc.SPARSITY_FALLBACK)).alias("fallback_algorithm"))
+
+
+@query("ensemble_select", O.with_(O.PV, O.DEMAND, O.SERIES, LEVEL_SQL) + """,
+cand AS (
+  SELECT d.item, d.supplier, d.unit,
+         CASE WHEN b.status = 'evaluated' THEN floor(b.baseline_mape * 10000.0 + 0.5) / 100.0 END AS boost_mape,
+         CASE WHEN l.n_months >= 24 THEN floor(l.level_mape_pos * 10000.0 + 0.5) / 100.0 END AS smooth_mape
+  FROM demand d LEFT JOIN bmape b ON d.item = b.item AND d.supplier = b.supplier
+       LEFT JOIN lvl l ON d.item = l.item AND d.supplier = l.supplier)
+SELECT item, supplier, unit, boost_mape, smooth_mape,
+       'Ensemble: ' || CASE WHEN boost_mape IS NOT NULL AND (smooth_mape IS NULL OR boost_mape <= smooth_mape)
+                            THEN 'XGBoost' WHEN smooth_mape IS NOT NULL THEN 'Holt-Winters'
+                            ELSE 'Baseline Average' END AS forecast_algorithm,
+       CASE WHEN boost_mape IS NOT NULL AND (smooth_mape IS NULL OR boost_mape <= smooth_mape) THEN boost_mape
+            ELSE smooth_mape END AS backtest_mape_pct
+FROM cand""")
+def q_ensemble_select(spark, d):
+    dem = demand(spark, d).select("item", "supplier", "unit")
+    b = ser.baseline_mape(ser.sparse_series(pv(spark, d)))
+    lv = level_mape(spark, d)
+    j = dem.join(b, ["item", "supplier"], "left").join(lv, ["item", "supplier"], "left")
+    j = j.select("item", "supplier", "unit",
+                 F.when(F.col("status") == "evaluated", mape_percent("baseline_mape")).alias("boost_mape"),
+                 F.when(F.col("n_months") >= 24, mape_percent("level_mape_pos")).alias("smooth_mape"))
+    none = F.lit(None).cast("double")
+    cols = fc.select_model(none, none, none, none, F.col("boost_mape"), F.lit(fc.BOOSTED), none, none,
+                           F.col("smooth_mape"), F.lit(fc.SMOOTHING))
+    return j.select("item", "supplier", "unit", "boost_mape", "smooth_mape",
+                    cols["forecast_algorithm"].alias("forecast_algorithm"),
+                    cols["backtest_mape_pct"].alias("backtest_mape_pct"))
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -71,5 +71,39 @@ matrix AS (
   FROM spend s JOIN lt_sup l ON s.supplier = l.supplier)"""
 
 
+SERIES = """ms AS (
+  SELECT item, supplier, CAST(date_trunc('month', doc_date) AS DATE) AS month_start, COALESCE(SUM(qty), 0.0) AS qty
+  FROM pv WHERE doc_date IS NOT NULL AND item IS NOT NULL AND supplier IS NOT NULL
+  GROUP BY item, supplier, CAST(date_trunc('month', doc_date) AS DATE)),
+sparse AS (
+  SELECT item, supplier, month_start, qty,
+         ROW_NUMBER() OVER (PARTITION BY item, supplier ORDER BY month_start) - 1 AS time_idx,
+         CAST(month(month_start) AS INTEGER) AS month, CAST(quarter(month_start) AS INTEGER) AS quarter
+  FROM ms),
+bounds AS (SELECT item, supplier, MIN(month_start) AS lo, MAX(month_start) AS hi FROM ms GROUP BY item, supplier),
+dense AS (
+  SELECT b.item, b.supplier, CAST(g.m AS DATE) AS month_start, COALESCE(ms.qty, 0.0) AS qty,
+         CAST(date_diff('month', b.lo, CAST(g.m AS DATE)) AS INTEGER) AS time_idx
+  FROM bounds b
+  CROSS JOIN LATERAL (SELECT unnest(generate_series(CAST(b.lo AS TIMESTAMP), CAST(b.hi AS TIMESTAMP),
+                                                    INTERVAL 1 MONTH)) AS m) g
+  LEFT JOIN ms ON ms.item = b.item AND ms.supplier = b.supplier AND ms.month_start = CAST(g.m AS DATE)),
+split AS (
+  SELECT s.*, COUNT(*) OVER (PARTITION BY item, supplier) AS n_points,
+         CASE WHEN time_idx < floor(COUNT(*) OVER (PARTITION BY item, supplier) * 0.75) THEN 'train'
+              ELSE 'test' END AS split
+  FROM sparse s),
+bmape AS (
+  SELECT item, supplier, n_points,
+         CASE WHEN n_points >= 6 THEN 'evaluated' ELSE 'skipped_sparsity' END AS status,
+         CASE WHEN n_points >= 6 THEN train_mean END AS train_mean,
+         CASE WHEN n_points >= 6 THEN AVG(CASE WHEN split = 'test'
+              THEN abs(qty - train_mean) / GREATEST(abs(qty), 2.220446049250313e-16) END) END AS baseline_mape
+  FROM (SELECT *, AVG(CASE WHEN split = 'train' THEN qty END) OVER (PARTITION BY item, supplier) AS train_mean
+        FROM split) x
+  GROUP BY item, supplier, n_points, train_mean),
+dlen AS (SELECT item, supplier, CAST(date_diff('month', lo, hi) + 1 AS INTEGER) AS n_months FROM bounds)"""
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
