@@ -441,9 +441,15 @@ def q_ensemble_select(spark, d):
                     cols["backtest_mape_pct"].alias("backtest_mape_pct"))
 
 
+def _load_query_modules() -> None:
+    from provend.plans import cleaning_queries  # noqa: F401  (registers on import)
+
+
 def queries() -> dict[str, Builder]:
+    _load_query_modules()
     return {k: v[0] for k, v in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _load_query_modules()
     return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}

@@ -107,3 +107,36 @@ dlen AS (SELECT item, supplier, CAST(date_diff('month', lo, hi) + 1 AS INTEGER)
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+VL_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_shipdate"
+
+VOUCHERS = """vl AS (
+  SELECT l_orderkey % 4 AS file_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+         l_returnflag, l_shipdate, p_brand, s_name, p_name,
+         (l_orderkey * 7 + CAST(l_quantity AS BIGINT)) % 17 AS dirt,
+         ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY """ + VL_ORDER + """) = 1 AS is_first
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+firsts AS (
+  SELECT l_orderkey,
+         CASE WHEN dirt = 3 THEN '31-04-2023' WHEN dirt = 6 THEN strftime(CAST(l_shipdate AS DATE), '%d/%m/%Y')
+              WHEN dirt = 7 THEN strftime(CAST(l_shipdate AS DATE), '%d-%b-%Y')
+              ELSE strftime(CAST(l_shipdate AS DATE), '%d-%m-%Y') END AS vdate_text,
+         CASE WHEN dirt = 3 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS vdate,
+         CASE WHEN dirt = 8 THEN '  ' || upper(s_name) ELSE s_name END AS vsupp_text,
+         lower(s_name) AS vsupp
+  FROM vl WHERE is_first),
+vfill AS (
+  SELECT vl.*, f.vdate_text, f.vdate, f.vsupp_text, f.vsupp,
+         CASE WHEN dirt = 0 THEN '  Freight Charge ' WHEN dirt = 4 THEN chr(9) || upper(p_brand) || chr(160)
+              ELSE p_brand END AS item_text,
+         CASE WHEN dirt = 0 THEN 'freight charge' ELSE lower(p_brand) END AS item_norm
+  FROM vl JOIN firsts f ON vl.l_orderkey = f.l_orderkey),
+vkept AS (SELECT * FROM vfill WHERE dirt NOT IN (0, 1)),
+vclean AS (
+  SELECT last_value(vdate IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY """ + VL_ORDER + """
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS doc_date,
+         vdate AS parsed_date, CAST(l_orderkey AS VARCHAR) AS voucher_no, vsupp AS supplier, item_norm AS item,
+         CASE WHEN dirt = 5 THEN NULL ELSE l_quantity END AS qty, l_extendedprice / l_quantity AS price,
+         CASE WHEN dirt = 2 THEN 1234.5 ELSE l_extendedprice END AS amount, l_returnflag AS unit
+  FROM vkept)"""

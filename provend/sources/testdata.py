@@ -83,3 +83,70 @@ def pov_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"pov": pov_view(spark, sf_dir), "grn": grn_view(spark, sf_dir), "pv": pv_view(spark, sf_dir)}
+
+
+# ---------------------------------------------------------------- voucher CSV fixture
+
+VOUCHER_FILES = 4
+HEADER_LINE = "Date,Vch/Bill No,Particulars,Item Details,Qty.,Price,Amount,Unit"
+METADATA = ["Provend Test Company", "1 Market Street", "Purchase Register", "Period", "", "Generated"]
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+              "l_returnflag", "l_shipdate"]
+
+
+def voucher_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoice lines laid out as voucher exports, with deterministic dirty rows.
+
+    ``dirt = (l_orderkey * 7 + qty) % 17`` picks the defect of a line:
+    0 charge line item, 1 unit '-', 2 amount '1,234.50', 3 unparseable date
+    (on a voucher's first line), 4 padded upper-case item, 5 quantity 'abc',
+    6 date as d/M/yyyy, 7 date as d-MMM-yyyy, 8 padded upper-case supplier.
+    Header fields are blank on all but the first line of a voucher.
+    """
+    from pyspark.sql import Window
+    li = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    j = li.join(part, li.l_partkey == part.p_partkey).join(supp, li.l_suppkey == supp.s_suppkey)
+    dirt = (F.col("l_orderkey") * 7 + F.col("l_quantity").cast("long")) % 17
+    first = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)) == 1
+    d = F.col("l_shipdate").cast("date")
+    date_txt = (F.when(dirt == 3, F.lit("31-04-2023")).when(dirt == 6, F.date_format(d, "dd/MM/yyyy"))
+                .when(dirt == 7, F.date_format(d, "dd-MMM-yyyy")).otherwise(F.date_format(d, "dd-MM-yyyy")))
+    item = (F.when(dirt == 0, F.lit("  Freight Charge "))
+            .when(dirt == 4, F.concat(F.lit("\t"), F.upper("p_brand"), F.lit(" "))).otherwise(F.col("p_brand")))
+    supplier = F.when(dirt == 8, F.concat(F.lit("  "), F.upper("s_name"))).otherwise(F.col("s_name"))
+    return j.select(
+        (F.col("l_orderkey") % VOUCHER_FILES).alias("file_id"), *LINE_ORDER,
+        F.when(first, date_txt).alias("Date"),
+        F.when(first, F.col("l_orderkey").cast("string")).alias("Vch/Bill No"),
+        F.when(first, supplier).alias("Particulars"),
+        item.alias("Item Details"),
+        F.when(dirt == 5, F.lit("abc")).otherwise(F.col("l_quantity").cast("string")).alias("Qty."),
+        F.try_divide("l_extendedprice", "l_quantity").cast("string").alias("Price"),
+        F.when(dirt == 2, F.lit("1,234.50")).otherwise(F.format_number("l_extendedprice", 2)).alias("Amount"),
+        F.when(dirt == 1, F.lit("-")).otherwise(F.col("l_returnflag")).alias("Unit"),
+    )
+
+
+def write_voucher_fixture(spark: SparkSession, sf_dir: str, out_path: str) -> str:
+    """Write ``voucher_lines`` as one CSV export per file id (6 metadata lines, header on line 7)."""
+    lines = voucher_lines(spark, sf_dir)
+    fields = ["Date", "Vch/Bill No", "Particulars", "Item Details", "Qty.", "Price", "Amount", "Unit"]
+    opts = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "quote": '"', "escape": '"'}
+    body = lines.select("file_id", F.lit(1).alias("_sec"), *LINE_ORDER,
+                        F.to_csv(F.struct(*[F.col(f"`{c}`") for c in fields]), opts).alias("value"))
+    files = spark.range(VOUCHER_FILES).select(F.col("id").alias("file_id"))
+    head = files.select("file_id", F.posexplode(F.array(*[F.lit(t) for t in METADATA + [HEADER_LINE]]))
+                        .alias("_hpos", "value")).select(
+        "file_id", F.lit(0).alias("_sec"), F.col("_hpos").cast("long").alias("l_orderkey"),
+        *[F.lit(None).cast(t).alias(c) for c, t in
+          [("l_linenumber", "int"), ("l_partkey", "long"), ("l_suppkey", "long"), ("l_quantity", "double"),
+           ("l_extendedprice", "double"), ("l_returnflag", "string"), ("l_shipdate", "timestamp_ntz")]],
+        "value")
+    allrows = head.unionByName(body)
+    allrows.repartition(VOUCHER_FILES, "file_id") \
+        .sortWithinPartitions("file_id", "_sec", *LINE_ORDER) \
+        .select("file_id", "value") \
+        .write.mode("overwrite").partitionBy("file_id").text(out_path)
+    return out_path
