@@ -442,7 +442,7 @@ def q_ensemble_select(spark, d):
 
 
 def _load_query_modules() -> None:
-    from provend.plans import cleaning_queries  # noqa: F401  (registers on import)
+    from provend.plans import cleaning_queries, similarity_queries  # noqa: F401  (register on import)
 
 
 def queries() -> dict[str, Builder]:
