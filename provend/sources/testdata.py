@@ -150,3 +150,18 @@ def write_voucher_fixture(spark: SparkSession, sf_dir: str, out_path: str) -> st
         .select("file_id", "value") \
         .write.mode("overwrite").partitionBy("file_id").text(out_path)
     return out_path
+
+
+def write_stock_fixture(spark: SparkSession, sf_dir: str, out_path: str) -> str:
+    """Closing stock per (brand, supplier name, ship month): sum(qty) % 50, dated the month's last day
+    (day-first text), as a CSV export with a header."""
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    j = li.join(part, li.l_partkey == part.p_partkey).join(supp, li.l_suppkey == supp.s_suppkey)
+    g = j.groupBy("p_brand", "s_name", F.last_day(F.col("l_shipdate").cast("date")).alias("d")) \
+        .agg((F.sum("l_quantity") % 50).alias("q"))
+    out = g.select(F.col("p_brand").alias("Item Details"), F.col("s_name").alias("Particulars"),
+                   F.date_format("d", "dd-MM-yyyy").alias("Period"), F.col("q").cast("string").alias("Closing Qty"))
+    out.write.mode("overwrite").option("header", "true").csv(out_path)
+    return out_path
