@@ -442,7 +442,7 @@ def q_ensemble_select(spark, d):
 
 
 def _load_query_modules() -> None:
-    from provend.plans import cleaning_queries, similarity_queries, stock_queries  # noqa: F401
+    from provend.plans import cleaning_queries, model_queries, similarity_queries, stock_queries  # noqa: F401
 
 
 def queries() -> dict[str, Builder]:

@@ -84,3 +84,12 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into ``spark.sql.shuffle.partitions`` parts before a CPU-heavy grouped
+    Python stage. An explicit partition count is not coalesced by AQE, so small-but-expensive inputs
+    (one row per month per series) keep every core busy; the following ``groupBy(keys)`` reuses this
+    partitioning without another shuffle."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
