@@ -92,3 +92,14 @@ def q_lead_time_baseline(spark, d):
     rows = td.pov_view(spark, d).select(F.col("doc_date").alias("pov_date"), F.col("voucher_no").alias("pov_no"),
                                         "supplier", "item", F.col("qty").alias("pov_qty"))
     return leadtime.predict_lead_time(rows, agg.lead_time_stats(links(spark, d)))
+
+
+@query("report_manifest")
+def q_report_manifest(spark, d):
+    """The whole pipeline over the document views, written by the report sink; rows per table."""
+    from provend.plans import pipeline
+    from provend.session import scratch_path
+    from provend.sinks.report import write_report
+    docs = pipeline.prepare(spark, docs=td.documents(spark, d))
+    results = pipeline.run(spark, docs)
+    return write_report(spark, results, scratch_path(spark, "report")).drop("path")
