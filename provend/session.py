@@ -87,9 +87,27 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` into ``spark.sql.shuffle.partitions`` parts before a CPU-heavy grouped
-    Python stage. An explicit partition count is not coalesced by AQE, so small-but-expensive inputs
-    (one row per month per series) keep every core busy; the following ``groupBy(keys)`` reuses this
-    partitioning without another shuffle."""
+    """Hash-partition rows by ``keys`` into ``spark.sql.shuffle.partitions`` parts ahead of a CPU-heavy
+    ``mapInPandas`` stage (rows are whole groups, e.g. one series per row).
+
+    The partition expression is ``xxhash64(keys)`` rather than the bare keys: a repartition on
+    exactly the keys an upstream aggregate already hashed on is dropped by the optimizer, and the
+    aggregate's small shuffle is then coalesced by AQE into very few tasks, serialising the work.
+    An explicit-count repartition on a new expression is kept and not coalesced.
+    """
+    from pyspark.sql import functions as F
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    return df.repartition(n, F.xxhash64(*keys))
+
+
+def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition only when ``df`` has fewer partitions than the cluster's default parallelism.
+
+    For CPU-heavy per-row stages (hashing for samples, vectorised Python scoring): on a large
+    input with many splits this is a no-op, on a single-split input it spreads the rows.
+    """
+    from pyspark.sql import functions as F
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, F.xxhash64(*keys)) if keys else df.repartition(target)
