@@ -1,0 +1 @@
+"""Scalar column expressions used by the operators (JVM-side built-ins only)."""

@@ -41,13 +41,13 @@ def demand_aggregate(pv: DataFrame, null_keys: str = "keep", money_scale: int =
         F.coalesce(F.sum("qty"), F.lit(0.0)).alias("total_qty"),
         money_sum("amount", money_scale).cast("double").alias("total_value"),
     )
-    m = months_covered(pv)
+    g = g.withColumn("months_covered", months_covered(pv).cast("long"))  # one scalar subquery
     return g.select(
         *DEMAND_KEYS, "total_qty", "total_value",
         F.when(F.col("total_qty") > 0, F.col("total_value") / F.col("total_qty")).otherwise(F.lit(0.0))
         .alias("avg_unit_price"),
-        m.cast("long").alias("months_covered"),
-        (F.col("total_qty") / m).alias("avg_monthly_qty"),
+        "months_covered",
+        (F.col("total_qty") / F.col("months_covered")).alias("avg_monthly_qty"),
     ).withColumn("avg_quarterly_qty", F.col("avg_monthly_qty") * 3)
 
 

@@ -1,0 +1 @@
+"""Report sink: one Parquet / CSV table per non-empty result."""

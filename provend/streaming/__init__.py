@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analytics this package rebuilds read bounded document exports only: there
+is no stream, watermark, windowed or stateful streaming operator to carry over,
+so this package intentionally provides none. Incremental loads are handled by
+pointing the voucher source at a directory of exports (one file per export).
+"""
