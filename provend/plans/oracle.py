@@ -112,7 +112,7 @@ def with_(*ctes: str) -> str:
 VL_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_shipdate"
 
 VOUCHERS = """vl AS (
-  SELECT l_orderkey % 4 AS file_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+  SELECT l_orderkey % 16 AS file_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
          l_returnflag, l_shipdate, p_brand, s_name, p_name,
          (l_orderkey * 7 + CAST(l_quantity AS BIGINT)) % 17 AS dirt,
          ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY """ + VL_ORDER + """) = 1 AS is_first

@@ -87,7 +87,7 @@ def documents(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 # ---------------------------------------------------------------- voucher CSV fixture
 
-VOUCHER_FILES = 4
+VOUCHER_FILES = 16
 HEADER_LINE = "Date,Vch/Bill No,Particulars,Item Details,Qty.,Price,Amount,Unit"
 METADATA = ["Provend Test Company", "1 Market Street", "Purchase Register", "Period", "", "Generated"]
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
