@@ -2,7 +2,8 @@
 
 Each result is a lazy DataFrame; actions happen only where an operator needs a
 statistic (quantile boundaries, cluster choice, tree samples) and at the sink.
-Tables that several results read are staged once (``materialize``), so a lost
+Tables that several results read are staged once (Parquet under the shared
+checkpoint folder for the large ones, ``checkpoint()`` for small ones), so a lost
 executor recomputes from the staged table, not from the raw exports.
 """
 
@@ -16,24 +17,34 @@ from provend.operators import aggregates as agg
 from provend.operators import boosting, linking, outliers, ranking, risk, similarity, smoothing
 from provend.operators import forecast as fc
 from provend.operators import series as ser
-from provend.session import materialize
+from provend.session import materialize, stage_table
 from provend.sources import stock as st
 from provend.sources import vouchers as vs
 
 REQUIRED_INPUTS = ("pov_path", "grn_path", "pv_path")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` (file, directory or glob) matches something on its file system."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    matches = fs.globStatus(hpath)
+    return matches is not None and len(matches) > 0
+
+
 def prepare(spark: SparkSession, paths: dict[str, str] | None = None, docs: dict[str, DataFrame] | None = None,
             cfg: Config = Config()) -> dict[str, DataFrame]:
     """Load and clean the three document kinds (or take given DataFrames); add branch-duplicate flags."""
     if docs is None:
         paths = paths or {}
         for key in REQUIRED_INPUTS:
-            if not paths.get(key):
+            if not paths.get(key) or not path_exists(spark, paths[key]):
                 raise FileNotFoundError(f"Required input file missing: {paths.get(key)}")
         docs = {kind: vs.read_vouchers(spark, paths[f"{kind}_path"], kind, cfg.null_keys)
                 for kind in ("pov", "grn", "pv")}
-    clean = {k: materialize(v) for k, v in docs.items()}
+    # the cleaned documents feed every result: staged once as Parquet in the shared folder
+    clean = {k: stage_table(v, f"clean-{k}") for k, v in docs.items()}
     dups = [similarity.branch_duplicates(clean[k], "supplier", cfg.similarity_threshold)
             .withColumn("document", F.lit(k.upper())) for k in ("pv", "pov", "grn")]
     clean["duplicates"] = dups[0].unionByName(dups[1]).unionByName(dups[2])
@@ -52,7 +63,7 @@ def train(docs: dict[str, DataFrame], cfg: Config = Config(), out_path: str | No
 def run(spark: SparkSession, docs: dict[str, DataFrame], cfg: Config = Config(), stock: DataFrame | None = None,
         models: DataFrame | None = None) -> dict[str, DataFrame]:
     pov, grn, pv = docs["pov"], docs["grn"], docs["pv"]
-    links = materialize(linking.link_orders(pov, grn, cfg.day_window, cfg.max_qty_ratio))
+    links = stage_table(linking.link_orders(pov, grn, cfg.day_window, cfg.max_qty_ratio), "links")
     lead = agg.lead_time_stats(links, cfg.low_sample_observations)
     exceptions = linking.exceptions(pov, grn)
     anomalies = outliers.detect(pv, seed=cfg.seed)
