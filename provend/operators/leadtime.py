@@ -67,6 +67,8 @@ def train_lead_time_model(links: DataFrame, stats: DataFrame, min_rows: int = 30
     if kept and model_path:
         model.write().overwrite().save(model_path)
     n_train, n_test = train.count(), test.count()
+    train.unpersist()
+    test.unpersist()
     summary = spark.createDataFrame(
         [(n, n_train, n_test, float(rf_mae), float(baseline_mae), bool(kept), "kept" if kept else "baseline")],
         "n_rows long, n_train long, n_test long, rf_mae double, baseline_mae double, kept boolean, status string")
