@@ -85,7 +85,7 @@ def run(spark: SparkSession, docs: dict[str, DataFrame], cfg: Config = Config(),
     forecast = materialize(forecast)
 
     matrix = agg.supplier_matrix(pv, links, cfg.min_supplier_observations)
-    risk_report = risk.segment_suppliers(matrix, seed=cfg.seed, gate=cfg.silhouette_gate)
+    risk_report = risk.segment_suppliers(matrix, seed=cfg.seed, gate=cfg.silhouette_gate, n_starts=cfg.kmeans_starts)
 
     summary = agg.run_summary(pv, forecast)
     return {
