@@ -287,7 +287,7 @@ def q_robust_scale(spark, d):
 SELECT supplier, ROUND(spend_pct, 6) AS spend_pct, ROUND(lt_med_pct, 6) AS lt_med_pct,
        ROUND(lt_std_pct, 6) AS lt_std_pct, ROUND(risk_score, 6) AS risk_score, risk_tier FROM tiers""")
 def q_supplier_risk_quantile(spark, d):
-    t = risk.quantile_tiers(valid_matrix(spark, d))
+    t = risk.quantile_tiers(valid_matrix(spark, d), checkpoint=False)
     return t.select("supplier", *[r6(c).alias(c) for c in ["spend_pct", "lt_med_pct", "lt_std_pct", "risk_score"]],
                     "risk_tier")
 
@@ -299,7 +299,7 @@ SELECT supplier, risk_tier, CASE WHEN upper(risk_tier) LIKE '%HIGH%' THEN 'red'
 FROM tiers""")
 def q_supplier_risk_colour(spark, d):
     from provend.functions.exprs import risk_colour
-    t = risk.quantile_tiers(valid_matrix(spark, d))
+    t = risk.quantile_tiers(valid_matrix(spark, d), checkpoint=False)
     return t.select("supplier", "risk_tier", risk_colour("risk_tier").alias("risk_colour"))
 
 
@@ -319,8 +319,9 @@ ab AS (SELECT p.supplier, p.label, COALESCE(MAX(sd / (c.c - 1)) FILTER (WHERE ql
 SELECT supplier, label, ROUND(a, 6) AS a, ROUND(b, 6) AS b,
        ROUND(CASE WHEN own_c = 1 THEN 0.0 ELSE (b - a) / GREATEST(a, b) END, 6) AS silhouette FROM ab""")
 def q_silhouette(spark, d):
-    f = scaled_features(spark, d)
-    t = risk.quantile_tiers(valid_matrix(spark, d)).select("supplier", "risk_tier")
+    v = valid_matrix(spark, d)
+    f = risk.robust_scale(risk.supplier_features(v), risk.FEATURES)
+    t = risk.quantile_tiers(v, checkpoint=False).select("supplier", "risk_tier")
     lab = F.when(F.col("risk_tier") == risk.LOW, 0).when(F.col("risk_tier") == risk.MEDIUM, 1).otherwise(2)
     pts = f.join(t, "supplier").withColumn("label", lab.cast("int"))
     s = risk.silhouette_points(pts, [c + "_scaled" for c in risk.FEATURES], "label", "supplier")
