@@ -52,3 +52,24 @@ def test_similarity_missing_column_gives_empty(spark):
     df = spark.createDataFrame([("a",)], "x string")
     assert similarity.branch_duplicates(df, "supplier").count() == 0
     assert similarity.similar_names(df, "supplier").count() == 0
+
+
+def test_cli_run_writes_report(spark, tmp_path):
+    from provend.__main__ import main
+    lines = ["m"] * 6 + ["Date,Vch/Bill No,Particulars,Item Details,Qty.,Price,Amount,Unit"]
+    for v in range(40):
+        lines.append(f"{1 + v % 28:02d}-{1 + v % 12:02d}-2023,V{v},Sup{v % 4} (up),Item{v % 5},{1 + v % 7},2,"
+                     f"{2 * (1 + v % 7)},Pcs")
+    paths = {}
+    for kind in ("pov", "grn", "pv"):
+        d = tmp_path / kind
+        d.mkdir()
+        (d / "export.csv").write_text("\n".join(lines) + "\n")
+        paths[kind] = str(d)
+    out = tmp_path / "report"
+    assert main(["run", "--pov", paths["pov"], "--grn", paths["grn"], "--pv", paths["pv"], "--out", str(out),
+                 "--no-models", "--growth-pct", "10"]) == 0
+    written = {p.name for p in out.iterdir()}
+    assert {"summary", "abc_classification", "lead_times", "raw_pv"} <= written
+    abc = spark.read.parquet(str(out / "abc_classification"))
+    assert abc.count() == 20 and abc.where("monthly_reorder_qty IS NULL").count() == 0
