@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 PENDING = "Pending Delivery (PO missing GRN)"
 UNORDERED = "Unordered Delivery (GRN missing PO)"
+# Optional types (off by default): key present on both sides, but the row is in no link.
+UNLINKED_ORDER = "Unlinked Order (no receipt in window)"
+UNLINKED_RECEIPT = "Unlinked Receipt (no order in window)"
 
 LINK_COLS = ["pov_date", "pov_no", "supplier", "item", "pov_qty", "grn_date", "grn_no", "grn_qty", "lead_time_days"]
 
@@ -42,12 +45,14 @@ def link_orders(pov: DataFrame, grn: DataFrame, day_window: int = 14, max_qty_ra
         .select(*LINK_COLS[:-1], lead.alias("lead_time_days"))
 
 
-def exceptions(pov: DataFrame, grn: DataFrame) -> DataFrame:
+def exceptions(pov: DataFrame, grn: DataFrame, include_unlinked: bool = False, links: DataFrame | None = None,
+               day_window: int = 14, max_qty_ratio: float = 2.0) -> DataFrame:
     """Orders whose (item, supplier) never appears in receipts, and the reverse.
 
     Only key existence is tested, not dates or quantities. Each side is checked
     against the *distinct* keys of the other (pre-aggregated before the shuffle),
-    so no many-to-many outer join is formed.
+    so no many-to-many outer join is formed. With ``include_unlinked`` the rows
+    whose key exists on both sides but which are part of no link are added too.
     """
     p = _side(pov, "pov")
     g = _side(grn, "grn")
@@ -58,4 +63,16 @@ def exceptions(pov: DataFrame, grn: DataFrame) -> DataFrame:
     pending = p.join(gk, cond_p, "left_anti").withColumn("anomaly_type", F.lit(PENDING))
     unordered = g.join(pk, cond_g, "left_anti").withColumn("anomaly_type", F.lit(UNORDERED))
     cols = ["pov_date", "pov_no", "supplier", "item", "pov_qty", "grn_date", "grn_no", "grn_qty", "anomaly_type"]
-    return pending.unionByName(unordered, allowMissingColumns=True).select(*cols)
+    out = pending.unionByName(unordered, allowMissingColumns=True)
+    if include_unlinked:
+        lk = links if links is not None else link_orders(pov, grn, day_window, max_qty_ratio)
+        pcols = ["pov_date", "pov_no", "supplier", "item", "pov_qty"]
+        gcols = ["grn_date", "grn_no", "supplier", "item", "grn_qty"]
+        linked_p = lk.select(*pcols).distinct()
+        linked_g = lk.select(*gcols).distinct()
+        orders = p.join(gk, cond_p, "left_semi").join(linked_p, pcols, "left_anti") \
+            .withColumn("anomaly_type", F.lit(UNLINKED_ORDER))
+        receipts = g.join(pk, cond_g, "left_semi").join(linked_g, gcols, "left_anti") \
+            .withColumn("anomaly_type", F.lit(UNLINKED_RECEIPT))
+        out = out.unionByName(orders, allowMissingColumns=True).unionByName(receipts, allowMissingColumns=True)
+    return out.select(*cols)

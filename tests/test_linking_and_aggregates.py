@@ -57,3 +57,12 @@ def test_lead_stats_and_supplier_matrix(spark):
     m = {r.supplier: r for r in agg.supplier_matrix(pv, links).collect()}
     assert m["s"].is_valid and not m["t"].is_valid and m["t"].std_lead_time is None
     assert abs(m["s"].std_lead_time - 3.605551275463989) < 1e-12
+
+
+def test_unlinked_rows_are_optional(spark):
+    pov = _docs(spark, [(D, "P1", "s", "a", 10.0), (D, "P2", "s", "a", 10.0)])
+    grn = _docs(spark, [(D + dt.timedelta(1), "G1", "s", "a", 10.0), (D + dt.timedelta(40), "G2", "s", "a", 1.0)])
+    assert linking.exceptions(pov, grn).count() == 0
+    extra = {(r.pov_no, r.grn_no): r.anomaly_type
+             for r in linking.exceptions(pov, grn, include_unlinked=True).collect()}
+    assert extra == {(None, "G2"): linking.UNLINKED_RECEIPT}
