@@ -77,7 +77,7 @@ def run(spark: SparkSession, docs: dict[str, DataFrame], cfg: Config = Config(),
     base = materialize(base)
     if cfg.use_models:
         models = models if models is not None else train(docs, cfg)
-        fits = materialize(smoothing.fit_pairs(ser.dense_series(pv), cfg.seasonal_periods))
+        fits = materialize(smoothing.fit_pairs(ser.dense_series(pv), cfg.seasonal_periods, cfg.hw_mape_mode))
         forecast = fc.ensemble_forecast(base, boosting.boosted_forecast(base, models, cfg.growth_rate),
                                         smoothing.holt_winters_forecast(base, fits, cfg.growth_rate))
     else:
