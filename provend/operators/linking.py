@@ -54,14 +54,19 @@ def exceptions(pov: DataFrame, grn: DataFrame, include_unlinked: bool = False, l
     so no many-to-many outer join is formed. With ``include_unlinked`` the rows
     whose key exists on both sides but which are part of no link are added too.
     """
-    p = _side(pov, "pov")
-    g = _side(grn, "grn")
-    gk = g.select("item", "supplier").distinct()
-    pk = p.select("item", "supplier").distinct()
-    cond_p = (p["item"].eqNullSafe(gk["item"])) & (p["supplier"].eqNullSafe(gk["supplier"]))
-    cond_g = (g["item"].eqNullSafe(pk["item"])) & (g["supplier"].eqNullSafe(pk["supplier"]))
-    pending = p.join(gk, cond_p, "left_anti").withColumn("anomaly_type", F.lit(PENDING))
-    unordered = g.join(pk, cond_g, "left_anti").withColumn("anomaly_type", F.lit(UNORDERED))
+    # Null-safe key as plain columns (a NULL key matches a NULL key): the distinct key table is then
+    # hash-partitioned exactly as the anti join needs, with no second exchange.
+    keys = ["_ki", "_kin", "_ks", "_ksn"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.select("*", F.coalesce("item", F.lit("")).alias("_ki"), F.col("item").isNull().alias("_kin"),
+                         F.coalesce("supplier", F.lit("")).alias("_ks"), F.col("supplier").isNull().alias("_ksn"))
+    p = keyed(_side(pov, "pov"))
+    g = keyed(_side(grn, "grn"))
+    gk = g.select(*keys).distinct()
+    pk = p.select(*keys).distinct()
+    pending = p.join(gk, keys, "left_anti").withColumn("anomaly_type", F.lit(PENDING))
+    unordered = g.join(pk, keys, "left_anti").withColumn("anomaly_type", F.lit(UNORDERED))
     cols = ["pov_date", "pov_no", "supplier", "item", "pov_qty", "grn_date", "grn_no", "grn_qty", "anomaly_type"]
     out = pending.unionByName(unordered, allowMissingColumns=True)
     if include_unlinked:
@@ -70,9 +75,9 @@ def exceptions(pov: DataFrame, grn: DataFrame, include_unlinked: bool = False, l
         gcols = ["grn_date", "grn_no", "supplier", "item", "grn_qty"]
         linked_p = lk.select(*pcols).distinct()
         linked_g = lk.select(*gcols).distinct()
-        orders = p.join(gk, cond_p, "left_semi").join(linked_p, pcols, "left_anti") \
+        orders = p.join(gk, keys, "left_semi").join(linked_p, pcols, "left_anti") \
             .withColumn("anomaly_type", F.lit(UNLINKED_ORDER))
-        receipts = g.join(pk, cond_g, "left_semi").join(linked_g, gcols, "left_anti") \
+        receipts = g.join(pk, keys, "left_semi").join(linked_g, gcols, "left_anti") \
             .withColumn("anomaly_type", F.lit(UNLINKED_RECEIPT))
         out = out.unionByName(orders, allowMissingColumns=True).unionByName(receipts, allowMissingColumns=True)
     return out.select(*cols)
