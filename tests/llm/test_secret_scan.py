@@ -1,0 +1,68 @@
+import base64
+import hashlib
+import json
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from provend.llm import secret_scan as s
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [(a, e, s.BASE_KINDS[k]) for a, k, e in sorted(out)]
+
+
+PARTS = st.sampled_from(["password", "PassWd", "secret", "token", "api_key", "APIKEY", "akia", "AKIA", "=", ":", " ", '"', "'",
+                         "abcdef0123456789", "AB12CD34EF56GH78", "x", "é", "İ", "ſ", "\n", "/", ".", "K"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PARTS, max_size=25).map("".join))
+def test_base_spans_equal_plain_search(text):
+    found = s.find_spans(text, s._automaton())
+    assert [x for x in found if x[2] in s.BASE_KINDS] == brute(text)
+
+
+def test_checksums_decide():
+    body = "A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5"
+    good = "ghp_" + body + s.base62_crc32(body)
+    bad = "ghp_" + body + ("000000" if s.base62_crc32(body) != "000000" else "000001")
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
+    der = b"\x30\x06" + b"\x02\x01\x00\x02\x01\x05"
+    pem = lambda d: "-----BEGIN PRIVATE KEY-----\n" + base64.b64encode(d).decode() + "\n-----END PRIVATE KEY-----"
+    kinds = lambda t: [k for _, _, k in s.find_spans(t, s._automaton())]
+    assert kinds(f"x {good} y") == ["github"] and kinds(f"x {bad} y") == []
+    assert kinds("npm_" + body + s.base62_crc32(body)) == ["npm"]
+    assert kinds(f"{head}.e30.sig") == ["jwt"] and kinds("eyJhbGciOi.e30.sig") == [] and kinds("eyJ" * 5000) == []
+    assert kinds(pem(der)) == ["pem"] and kinds(pem(der + b"\x00")) == []
+
+
+def test_table_of_edge_cases(spark, edge_docs, no_docs):
+    got = {(r["doc_id"], len(r["found"])) for r in s.scan(edge_docs).collect()}
+    assert (1, 0) in got and (None, 0) in got and (12, 0) in got
+    assert s.scan(no_docs).count() == 0
+    rows = s.scan(edge_docs).count()
+    assert rows == edge_docs.count()
+
+
+def test_query_digests_and_redaction(spark, some_docs, tmp_path):
+    from conftest import SF
+    rows = s.query(spark, SF).collect()
+    texts = {d: t for d, t, _, _ in some_docs}
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = brute(texts[r["doc_id"]])
+        listed = ",".join(f"{k}:{a}:{e}" for a, e, k in base)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x[2] == k for x in base) for k in s.BASE_KINDS)
+        assert set(listed.split(",")) <= set(r["spans"].split(",")) | {""}
+    df = spark.createDataFrame([("a token=abcdefabcdef1234 b",), (None,), ("plain",)], "text string")
+    out = [r[0] for r in df.select(s.redacted(df["text"])).collect()]
+    assert out == ["a [SECRET] b", None, "plain"]
