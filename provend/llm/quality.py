@@ -88,13 +88,14 @@ def n_repeat_words(text: Column) -> Column:
 
 def line_ok(line: Column) -> Column:
     """Does a line pass the punctuation, navigation and boilerplate rules? Lines without words pass."""
-    words = n_words(line)
-    punctuation = ((_count_of(line, SYMBOLS) < F.greatest(F.lit(2.0), words * SYMBOLS_PER_WORD))
-                   & (F.regexp_count(line, F.lit(DOUBLED)) < F.greatest(F.lit(2.0), words * DOUBLED_PER_WORD)))
-    navigation = (_count_of(line, SEPARATORS) < F.greatest(F.lit(2.0), words * SEPARATORS_PER_WORD)) & ~(
-        (words <= 6) & line.rlike(NAVIGATION))
-    boilerplate = ~((words <= SHORT_LINE) & line.rlike(BOILERPLATE))
-    return punctuation & navigation & boilerplate
+    def by(words: Column) -> Column:
+        punctuation = ((_count_of(line, SYMBOLS) < F.greatest(F.lit(2.0), words * SYMBOLS_PER_WORD))
+                       & (F.regexp_count(line, F.lit(DOUBLED)) < F.greatest(F.lit(2.0), words * DOUBLED_PER_WORD)))
+        navigation = (_count_of(line, SEPARATORS) < F.greatest(F.lit(2.0), words * SEPARATORS_PER_WORD)) & ~(
+            (words <= 6) & line.rlike(NAVIGATION))
+        boilerplate = ~((words <= SHORT_LINE) & line.rlike(BOILERPLATE))
+        return punctuation & navigation & boilerplate
+    return _let(n_words(line), by)
 
 
 def cleaned(text: Column) -> Column:
