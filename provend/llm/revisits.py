@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provend.session import stage_table
+
 SLICE_SECONDS = 6 * 3600
 
 #: Header fields that a 304 must not change in a stored response.
@@ -86,8 +88,10 @@ def resolve(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame
     """
     full = (F.col("type") == "response") & (F.col("status") == 200)
     at = F.unix_micros("date")
-    rows = (records.select("record_id", "type", "status", "fields", canonical_url(F.col("url")).alias("url_key"),
-                           at.alias("at"))
+    # parsed once: the records' keys and fields feed both windows
+    rows = stage_table(records.select("record_id", "type", "status", "fields",
+                                      canonical_url(F.col("url")).alias("url_key"), at.alias("at")), "revisit-records")
+    rows = (rows
             .withColumn("slice", F.floor(F.col("at") / (slice_seconds * 1_000_000)))
             .withColumn("known", F.when(full & F.col("at").isNotNull() & F.col("url_key").isNotNull(),
                                         F.struct("at", "record_id", "fields"))))
