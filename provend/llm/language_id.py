@@ -18,6 +18,7 @@ held out; repeated rows are predicted each; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -55,6 +56,7 @@ class Model:
         self._add(by_word, self.words, logs, lambda w: 0)
         self._add(by_gram, self.grams, logs, len)
         self.logs = np.array(logs, dtype=np.float32).reshape(len(logs), len(self.langs))
+        self.name = uuid.uuid4().hex
 
     @staticmethod
     def _grams(word: str, size: int) -> list[str]:
@@ -74,12 +76,26 @@ class Model:
             index[key] = len(logs)
             logs.append(np.log((n + 0.5) / (totals[kind(key)] + 0.5 * sizes[kind(key)])))
 
-    def backed_off(self, word: str) -> np.ndarray:
+    def gram_rows(self, word: str) -> list[int]:
+        """Rows of the word's n-grams of the longest length of which any is known."""
+        known = self.grams
         for size in range(LONGEST, 0, -1):
-            rows = [self.grams[g] for g in self._grams(word, size) if g in self.grams]
+            rows = [known[g] for g in self._grams(word, size) if g in known]
             if rows:
-                return self.logs[rows].mean(axis=0)
-        return np.zeros(len(self.langs), dtype=np.float32)
+                return rows
+        return []
+
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """Mean log frequency of each word's n-grams; zeros for a word of which none is known."""
+        rows = [self.gram_rows(w) for w in words]
+        sizes = np.array([len(r) for r in rows])
+        out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            flat = np.fromiter((i for r in rows for i in r), dtype=np.int64, count=int(sizes.sum()))
+            starts = np.cumsum(sizes[some]) - sizes[some]
+            out[some] = np.add.reduceat(self.logs[flat], starts, axis=0) / sizes[some, None]
+        return out
 
 
 class Scorer:
@@ -102,23 +118,34 @@ class Scorer:
         if len(self.index) + len(new) > len(self.rows):
             self._reset()
             new = [w for w in words if w not in self.index]
-        known = dict.fromkeys(words)
-        total = np.zeros(len(self.model.langs))
-        for w in new:
-            v = self.model.backed_off(w)
-            if len(self.index) < len(self.rows):
-                self.rows[len(self.index)] = v
-                self.index[w] = len(self.index)
-            else:  # a text with more new words than the memory holds
-                total += v * words[w]
-                del known[w]
-        at = np.fromiter((self.index[w] for w in known), dtype=np.int64, count=len(known))
+        if new:
+            found, fits = self.model.backed_off(new), len(self.rows) - len(self.index)
+            at = len(self.index)
+            self.rows[at:at + min(fits, len(new))] = found[:fits]
+            self.index.update(zip(new[:fits], range(at, at + fits)))
+            extra = dict(zip(new[fits:], found[fits:]))  # a text with more new words than the memory holds
+        else:
+            extra = {}
+        known = [w for w in words if w not in extra] if extra else list(words)
         n = np.fromiter((words[w] for w in known), dtype=np.float64, count=len(known))
-        total += n @ self.rows[at]
+        total = n @ self.rows[[self.index[w] for w in known]]
+        for w, v in extra.items():
+            total = total + v * words[w]
         best = int(total.argmax())
         return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
+#: the scorer of the last model that this Python worker has seen; its memory serves later tasks too
+_SCORER: dict[str, Scorer] = {}
+
+
+def _scorer(model: Model) -> Scorer:
+    if model.name not in _SCORER:
+        _SCORER.clear()
+        _SCORER[model.name] = Scorer(model)
+    return _SCORER[model.name]
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         fit_docs: int = FIT_DOCS, max_words: int = MAX_WORDS) -> Model:
     """Learn from labelled documents that are not held out: at most about ``fit_docs`` of each language,
@@ -140,11 +167,11 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
 def predicted(spark, model: Model, text: Column) -> Column:
     """Column struct<lang, score> of a text column."""
-    sent, state = spark.sparkContext.broadcast(model), {}
+    sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def guess(texts: pa.Array) -> pa.Array:
-        scorer = state.get("scorer") or state.setdefault("scorer", Scorer(sent.value))
+        scorer = _scorer(sent.value)
         out = [scorer.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()),
                                            pa.array([s for _, s in out], pa.float64())], ["lang", "score"])
