@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provend.llm.pieces import PieceEncoder
+from provend.llm import pieces
 from provend.session import scratch_path, stage_table
 
 SEQUENCE = 2048
@@ -121,7 +121,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, *
             if not batch.num_rows:
                 continue
             if files is None:
-                encoder = PieceEncoder(vocabulary, end_id, lower=False)
+                encoder = pieces.encoder(vocabulary, end_id, lower=False)
                 files = _ShardFiles(folder, shard, encoder.dtype, sequence)
             for i in range(0, batch.num_rows, 256):
                 ids, texts = (c.to_pylist() for c in batch.slice(i, 256).columns)

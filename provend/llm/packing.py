@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provend.llm.pieces import PieceEncoder
+from provend.llm.pieces import encoder as encoder_of
 from provend.session import stage_table
 
 CAPACITY = 2048
@@ -122,9 +122,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, *, capa
     ``part`` is the task, ``nth`` the piece's number among those of its length in that task.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, encoder = TaskContext.get().partitionId(), {}, None
+        part, seen, encoder = TaskContext.get().partitionId(), {}, encoder_of(vocabulary, end_id, lower=True)
         for batch in batches:
-            encoder = encoder or PieceEncoder(vocabulary, end_id, lower=True)
             for lo in range(0, batch.num_rows, 512):
                 rows: list[tuple] = []
                 ids_col, texts = (c.to_pylist() for c in batch.slice(lo, 512).columns)

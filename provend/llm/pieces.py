@@ -6,12 +6,13 @@ asked once for each distinct piece; ids are kept as bytes and a document is the
 join of its pieces'. This holds for texts of common Latin letters, digits, ASCII
 punctuation and plain white space; any other text (and one with a special
 token's string) goes to the library as a whole. The memory of pieces is bounded:
-it is emptied when full.
+it is emptied when full. A Python worker keeps it from task to task.
 """
 
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -58,3 +59,9 @@ class PieceEncoder:
             new = list(set(pieces))
         known.update(zip(new, self._ids(new)))
         return np.frombuffer(b"".join([known[p] for p in pieces]) + self.end, dtype=self.dtype)
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, end_id: int, lower: bool) -> PieceEncoder:
+    """This worker's encoder of a vocabulary."""
+    return PieceEncoder(path, end_id, lower)
