@@ -1,64 +1,102 @@
-"""Token ids of whole texts by a BPE vocabulary file, with each distinct piece encoded once per task.
+"""Token ids of whole texts by a BPE vocabulary file, with each distinct piece encoded once.
 
 Both vocabularies used here cut a text into pieces by a pattern and merge inside
 pieces only. So a piece has the same ids wherever it stands, and the library is
 asked once for each distinct piece; ids are kept as bytes and a document is the
-join of its pieces'. This holds for texts of common Latin letters, digits, ASCII
-punctuation and plain white space; any other text (and one with a special
-token's string) goes to the library as a whole. The memory of pieces is bounded:
-it is emptied when full. A Python worker keeps it from task to task.
+join of its pieces'. What stands between single spaces is cut the same wherever it
+stands too, so most of a text is one lookup for each word with its punctuation.
+
+This holds for texts of common Latin letters, digits, ASCII punctuation and plain
+white space; any other text (and one with a special token's string) goes to the
+library as a whole.
+
+Memory is bounded and outlives a task: a table has two generations, and when the
+younger is full it becomes the older one, whose entries come back on use.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-import regex
 
-#: Patterns by which the two vocabulary files cut text.
-BYTE_PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-WORD_PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+""")
+#: Letters and numbers among the characters that are not uncommon.
+LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿĀ-įı-ſ"
+NUMBER = "0-9²³¹¼-¾"
+#: Patterns by which the two vocabulary files cut text, for such characters.
+BYTE_PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+WORD_PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
 #: Anything but tab, line breaks, ASCII, and Latin-1 / Latin Extended-A letters and signs (without the dotted I).
-UNCOMMON = regex.compile(r"[^\t\n\r -~¡-ÿĀ-įı-ſ]|<\|")
-MAX_PIECES = 400_000
+UNCOMMON = re.compile(r"[^\t\n\r -~¡-ÿĀ-įı-ſ]|<\|")
+#: Spaces next to other white space: there a piece may hold more than one chunk's space.
+MIXED_SPACE = ("  ", " \n", "\n ", "\t", "\r")
+MAX_ENTRIES = 400_000  # in each generation of a table
+
+
+class _Table:
+    """key -> ids as bytes, with what finds the ids of new keys."""
+
+    def __init__(self, find: Callable[[list[str]], list[bytes]], size: int):
+        self.find, self.size = find, size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, keys: list[str]) -> list[bytes]:
+        out = list(map(self.young.get, keys))
+        if None not in out:
+            return out
+        missing = {k for k, x in zip(keys, out) if x is None}
+        got = {k: self.old[k] for k in missing if k in self.old}
+        new = list(missing.difference(got))
+        got.update(zip(new, self.find(new)))
+        if len(self.young) + len(got) > self.size:
+            self.old, self.young = self.young, {}
+        self.young.update(got)
+        return [x if x is not None else got[k] for k, x in zip(keys, out)]
 
 
 class PieceEncoder:
-    """``lower``: the vocabulary lower-cases text before it cuts. ``end_id`` closes every document."""
+    """``lower``: the vocabulary lower-cases text and drops white space. ``end_id`` closes every document."""
 
-    def __init__(self, path: str, end_id: int, lower: bool, max_pieces: int = MAX_PIECES):
+    def __init__(self, path: str, end_id: int, lower: bool, max_entries: int = MAX_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.pattern = WORD_PIECES if lower else BYTE_PIECES
-        self.lower, self.max_pieces = lower, max_pieces
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.cut = (WORD_PIECES if lower else BYTE_PIECES).findall
+        self.lower = lower
+        self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.pieces = _Table(self._encoded, max_entries)
+        self.chunks = _Table(self._chunks, max_entries)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in found]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, each with the space before it where white space counts."""
+        cuts = [self.cut(c if self.lower else " " + c) for c in chunks]
+        flat = iter(self.pieces.ids([p for ps in cuts for p in ps]))
+        return [b"".join([next(flat) for _ in ps]) for ps in cuts]
+
+    def _text(self, text: str) -> bytes:
+        if UNCOMMON.search(text):
+            return self._encoded([text])[0]
+        if self.lower:
+            return b"".join(self.chunks.ids(text.lower().split()))
+        if any(x in text for x in MIXED_SPACE):
+            return b"".join(self.pieces.ids(self.cut(text)))
+        first, *rest = text.split(" ")
+        return b"".join(self.pieces.ids(self.cut(first)) + self.chunks.ids(rest))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the whole text and the end id. A null text counts as empty."""
-        text = text or ""
-        if UNCOMMON.search(text):
-            return np.frombuffer(self._ids([text])[0] + self.end, dtype=self.dtype)
-        pieces = self.pattern.findall(text.lower() if self.lower else text)
-        known = self.known
-        try:
-            return np.frombuffer(b"".join([known[p] for p in pieces]) + self.end, dtype=self.dtype)
-        except KeyError:
-            pass
-        new = list({p for p in pieces if p not in known})
-        if len(known) + len(new) > self.max_pieces:
-            known.clear()
-            new = list(set(pieces))
-        known.update(zip(new, self._ids(new)))
-        return np.frombuffer(b"".join([known[p] for p in pieces]) + self.end, dtype=self.dtype)
+        return np.frombuffer((self._text(text) if text else b"") + self.end, dtype=self.dtype)
 
 
 @lru_cache(maxsize=4)
