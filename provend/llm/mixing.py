@@ -38,7 +38,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
 BLOCK_WORDS = 256
-BUCKET_BLOCKS = 50_000  # blocks of a source in one hash bucket
+BUCKET_BLOCKS = 4096  # blocks of a source in one hash bucket
 SHARD_BLOCKS = 131_072
 CELL = 4096  # ranks in one join cell
 SEED = 20

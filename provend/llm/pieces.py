@@ -34,7 +34,7 @@ WORD_PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\s{LET
 UNCOMMON = re.compile(r"[^\t\n\r -~¡-ÿĀ-įı-ſ]|<\|")
 #: Spaces next to other white space: there a piece may hold more than one chunk's space.
 MIXED_SPACE = ("  ", " \n", "\n ", "\t", "\r")
-MAX_ENTRIES = 400_000  # in each generation of a table
+MAX_ENTRIES = 250_000  # in each generation of a table
 
 
 class _Table:
@@ -64,18 +64,22 @@ class PieceEncoder:
 
     def __init__(self, path: str, end_id: int, lower: bool, max_entries: int = MAX_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        # pieces are cut and lower-cased already: what is left to do for them is the merging
+        self.merging = Tokenizer.from_file(path)
+        self.merging.normalizer = None
+        self.merging.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cut = (WORD_PIECES if lower else BYTE_PIECES).findall
         self.lower = lower
         self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
-        self.pieces = _Table(self._encoded, max_entries)
+        self.pieces = _Table(lambda x: self._encoded(x, self.merging), max_entries)
         self.chunks = _Table(self._chunks, max_entries)
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _encoded(self, texts: list[str], tokenizer) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
@@ -86,7 +90,7 @@ class PieceEncoder:
 
     def _text(self, text: str) -> bytes:
         if UNCOMMON.search(text):
-            return self._encoded([text])[0]
+            return self._encoded([text], self.tokenizer)[0]
         if self.lower:
             return b"".join(self.chunks.ids(text.lower().split()))
         if any(x in text for x in MIXED_SPACE):
