@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 CHARGE_LINE_PATTERN = "freight|tax|charge"
 NON_ITEM_UNIT = "-"
 FORMULA_PREFIXES = "^[=+@-]"
-DAY_FIRST_FORMATS = ("d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "d-MMM-yyyy", "d MMM yyyy", "d-M-yy", "d/M/yy", "yyyy-MM-dd")
+DAY_FIRST_FORMATS = ("d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "d-MMM-yyyy", "d MMM yyyy", "d-M-yy", "d/M/yy", "yyyy-MM-dd",
+                     "d-MMM-yy", "d MMM yy", "d-MMMM-yyyy", "d MMMM yyyy", "d-MMMM-yy", "d MMMM yy")
+TIME_OF_DAY = r"[ T]+[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?\s*$"
+NUMBER_PATTERN = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 MACHINE_EPS = 2.220446049250313e-16
 
 
@@ -18,13 +21,15 @@ def col(c: str | Column) -> Column:
 
 
 def parse_number(c: str | Column) -> Column:
-    """Strip thousands separators; anything unparseable becomes NULL."""
-    return F.regexp_replace(col(c).cast("string"), ",", "").try_cast("double")
+    """Strip thousands separators; anything that is not a plain decimal number becomes NULL."""
+    s = F.regexp_replace(col(c).cast("string"), ",", "")
+    return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
 
 
 def parse_day_first_date(c: str | Column) -> Column:
-    """Day-first date text -> DATE, trying an explicit ordered format list; bad dates -> NULL."""
-    s = F.trim(col(c).cast("string"))
+    """Day-first date text -> DATE, trying an explicit ordered format list; a time of day is left out;
+    bad dates -> NULL."""
+    s = F.trim(F.regexp_replace(col(c).cast("string"), TIME_OF_DAY, ""))
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DAY_FIRST_FORMATS]).cast("date")
 
 

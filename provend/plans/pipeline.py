@@ -40,7 +40,7 @@ def prepare(spark: SparkSession, paths: dict[str, str] | None = None, docs: dict
         paths = paths or {}
         for key in REQUIRED_INPUTS:
             if not paths.get(key) or not path_exists(spark, paths[key]):
-                raise FileNotFoundError(f"Required input file missing: {paths.get(key)}")
+                raise FileNotFoundError(f"{key}: nothing found at {paths.get(key)!r}")
         docs = {kind: vs.read_vouchers(spark, paths[f"{kind}_path"], kind, cfg.null_keys)
                 for kind in ("pov", "grn", "pv")}
     # the cleaned documents feed every result: staged once as Parquet in the shared folder
@@ -101,4 +101,5 @@ def run(spark: SparkSession, docs: dict[str, DataFrame], cfg: Config = Config(),
         "raw_grn": grn,
         "raw_pov": pov,
         "raw_pv": pv,
+        **({"duplicates": docs["duplicates"]} if "duplicates" in docs else {}),
     }
