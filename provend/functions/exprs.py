@@ -67,11 +67,6 @@ def base_name(c: str | Column) -> Column:
     return strip_text(F.regexp_replace(no_paren, r"\[.*?\]", ""))
 
 
-def safe_name(c: str | Column) -> Column:
-    """Every character that is not a letter or digit becomes '_'."""
-    return F.regexp_replace(col(c), r"[^\p{L}\p{N}]", "_")
-
-
 def risk_colour(tier: str | Column) -> Column:
     """HIGH -> red, else MEDIUM -> yellow, else LOW -> green (first match wins)."""
     t = F.upper(F.coalesce(col(tier), F.lit("")))

@@ -85,10 +85,6 @@ def distinct_pairs(pv: DataFrame) -> DataFrame:
     return pv.where(F.col("item").isNotNull() & F.col("supplier").isNotNull()).select(*PAIR_KEYS).distinct()
 
 
-def distinct_names(df: DataFrame, column: str) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).select(F.col(column).alias("name")).distinct()
-
-
 def quantile_caps(df: DataFrame, columns: list[str], q: float = 0.95) -> DataFrame:
     """One row: the exact (linearly interpolated) ``q`` quantile of each column."""
     return df.agg(*[F.percentile(F.col(c), F.lit(q)).alias(f"{c}_cap") for c in columns])
