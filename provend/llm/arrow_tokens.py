@@ -81,20 +81,21 @@ class _ShardFiles:
                 _list_array(pa.array(mask[i:i + step]), self.sequence)], schema=self.schema))
         self.n_sequences += len(ids) // self.sequence
 
-    def add(self, doc_ids: list, encoded: list[np.ndarray]) -> None:
-        sizes = np.array([len(x) for x in encoded], dtype=np.int64)
+    def add(self, doc_ids: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The documents' ids one after another, and the number of ids of each."""
         starts = self.n_tokens + np.cumsum(sizes) - sizes
         self.docs.write_batch(pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes)],
                                               schema=self.docs_schema))
         self.n_docs += len(doc_ids)
-        self.n_tokens += int(sizes.sum())
-        self.rest += encoded
-        self.waiting += int(sizes.sum())
-        if self.waiting >= BATCH_SEQUENCES * self.sequence:
+        self.n_tokens += len(ids)
+        self.rest.append(ids)
+        self.waiting += len(ids)
+        step = BATCH_SEQUENCES * self.sequence
+        if self.waiting >= step:  # batches of one size, so that a sequence's batch is found by arithmetic
             ids = np.concatenate(self.rest)
-            whole = len(ids) // self.sequence * self.sequence
+            whole = len(ids) // step * step
             self._put(ids[:whole], np.ones(whole, dtype=bool))
-            self.rest, self.waiting = [ids[whole:]], len(ids) - whole
+            self.rest, self.waiting = [ids[whole:].copy()], len(ids) - whole
 
     def close(self) -> None:
         if self.waiting:
@@ -123,9 +124,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, *
             if files is None:
                 encoder = pieces.encoder(vocabulary, end_id, lower=False)
                 files = _ShardFiles(folder, shard, encoder.dtype, sequence)
-            for i in range(0, batch.num_rows, 256):
-                ids, texts = (c.to_pylist() for c in batch.slice(i, 256).columns)
-                files.add(ids, [encoder.encode(t) for t in texts])
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            for lo, hi in pieces.slices(texts):
+                files.add(ids[lo:hi], *encoder.encode_all(texts[lo:hi]))
         if files is not None:
             files.close()
             yield pa.RecordBatch.from_pylist([{
@@ -139,32 +140,38 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, *
 
 
 class TokenFile:
-    """Random access to one shard's sequences by memory map; ``ids`` and ``mask`` rows are views, not copies."""
+    """Random access to one shard's sequences; ``ids`` and ``mask`` rows are views, not copies.
+
+    A local file is mapped into memory. Of a file elsewhere, the batch last used is held.
+    """
 
     def __init__(self, path: str, sequence: int):
         fs, inner = _filesystem(path)
         source = pa.memory_map(inner) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(inner)
         self.reader = pa.ipc.open_file(source)
         self.sequence = sequence
-        self.batches = [self.reader.get_batch(i) for i in range(self.reader.num_record_batches)]
-        self.first = np.cumsum([0, *(b.num_rows for b in self.batches)])
+        self.n_batches = self.reader.num_record_batches
+        self.held: tuple[int, pa.RecordBatch | None] = (-1, None)
+        self.rows = self._batch(0).num_rows if self.n_batches else 1  # of every batch but the last
+
+    def _batch(self, b: int) -> pa.RecordBatch:
+        if self.held[0] != b:
+            self.held = b, self.reader.get_batch(b)
+        return self.held[1]
 
     def __len__(self) -> int:
-        return int(self.first[-1])
+        return (self.n_batches - 1) * self.rows + self._batch(self.n_batches - 1).num_rows if self.n_batches else 0
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, pa.Array]:
-        b = int(np.searchsorted(self.first, i, side="right")) - 1
-        batch, at = self.batches[b], i - int(self.first[b])
+        b, at = divmod(i, self.rows)
+        batch = self._batch(b)
         return (batch.column(0)[at].values.to_numpy(zero_copy_only=True), batch.column(1)[at].values)
 
     def span(self, start: int, length: int) -> Iterator[np.ndarray]:
         """Views of the ids from place ``start`` of the shard's stream, ``length`` of them."""
         while length > 0:
-            i, at = divmod(start, self.sequence)
-            b = int(np.searchsorted(self.first, i, side="right")) - 1
-            flat = self.batches[b].column(0).flatten().to_numpy(zero_copy_only=True)
-            at += (i - int(self.first[b])) * self.sequence
-            part = flat[at:at + length]
+            b, at = divmod(start, self.rows * self.sequence)
+            part = self._batch(b).column(0).flatten().to_numpy(zero_copy_only=True)[at:at + length]
             yield part
             start, length = start + len(part), length - len(part)
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provend.llm.pieces import encoder as encoder_of
+from provend.llm.pieces import slices
 from provend.session import stage_table
 
 CAPACITY = 2048
@@ -124,17 +125,19 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, *, capa
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, encoder = TaskContext.get().partitionId(), {}, encoder_of(vocabulary, end_id, lower=True)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
+            doc_ids, texts = (c.to_pylist() for c in batch.columns)
+            for lo, hi in slices(texts):
                 rows: list[tuple] = []
-                ids_col, texts = (c.to_pylist() for c in batch.slice(lo, 512).columns)
-                for doc, text in zip(ids_col, texts):
-                    ids = encoder.encode(text).astype("<u4")
-                    for k, start in enumerate(range(0, len(ids), capacity)):
+                flat, sizes = encoder.encode_all(texts[lo:hi])
+                flat = flat.astype("<u4")
+                for doc, end, size in zip(doc_ids[lo:hi], np.cumsum(sizes).tolist(), sizes.tolist()):
+                    ids = flat[end - size:end]
+                    for k, start in enumerate(range(0, size, capacity)):
                         x = ids[start:start + capacity]
                         nth = seen.get(len(x), 0)
                         seen[len(x)] = nth + 1
                         raw = x.tobytes()
-                        rows.append((doc, k, start, len(x), zlib.crc32(raw), part, nth, raw))
+                        rows.append((doc, k, start, len(x), zlib.crc32(raw), part, nth, raw if keep_ids else None))
                 cols = list(zip(*rows))
                 types = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
