@@ -32,6 +32,8 @@ def _parser() -> argparse.ArgumentParser:
     r.add_argument("--abc-a", type=float, default=70.0)
     r.add_argument("--abc-b", type=float, default=90.0)
     r.add_argument("--day-window", type=int, default=14)
+    r.add_argument("--hw-trend", choices=["add", "mul"], default="add", help="kind of the smoothing model's trend")
+    r.add_argument("--hw-seasonal", choices=["add", "mul"], default="add", help="kind of its season")
     r.add_argument("--no-models", action="store_true", help="base forecast only (no boosted / smoothing)")
     return p
 
@@ -52,7 +54,8 @@ def main(argv: list[str] | None = None) -> int:
 
     cfg = dataclasses.replace(Config(), growth_rate=Config.growth_from_percent(args.growth_pct),
                               abc_threshold_a=args.abc_a, abc_threshold_b=args.abc_b, day_window=args.day_window,
-                              closing_stock_freq=args.stock_freq, use_models=not args.no_models)
+                              closing_stock_freq=args.stock_freq, use_models=not args.no_models,
+                              holt_winters_trend=args.hw_trend, holt_winters_seasonal=args.hw_seasonal)
     docs = pipeline.prepare(spark, paths=paths, cfg=cfg)
     stock = None
     if args.stock:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provend.functions.exprs import money_sum, month_start
+from provend.operators.prefix import exact_quantiles
 
 DEMAND_KEYS = ["item", "supplier", "unit"]
 PAIR_KEYS = ["item", "supplier"]
@@ -87,7 +88,9 @@ def distinct_pairs(pv: DataFrame) -> DataFrame:
 
 def quantile_caps(df: DataFrame, columns: list[str], q: float = 0.95) -> DataFrame:
     """One row: the exact (linearly interpolated) ``q`` quantile of each column."""
-    return df.agg(*[F.percentile(F.col(c), F.lit(q)).alias(f"{c}_cap") for c in columns])
+    caps = exact_quantiles(df, columns, [q])
+    return df.sparkSession.createDataFrame([tuple(caps[c][0] for c in columns)],
+                                           ", ".join(f"`{c}_cap` double" for c in columns))
 
 
 def class_counts(classified: DataFrame) -> DataFrame:

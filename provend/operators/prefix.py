@@ -1,24 +1,21 @@
-"""Global running sums and positions without a single-task window.
+"""Global running sums, positions and order statistics without a single-task window.
 
 ``Window.orderBy(...)`` with no partition moves every row to one task. Here the
-rows are cut into contiguous ranges of the full sort key (bucket boundaries
-taken from a bounded sample of the key), each range is summed with a
-partitioned window, and the per-range totals -- at most ``max_buckets`` rows,
-a proven bound -- are prefixed and broadcast back. Because the boundaries are
-tuples of the *whole* sort key, one huge group of equal values is still split
-over many ranges by its tie-breaking columns.
+rows are range-partitioned on the full sort key and staged with the number of
+their range; each range is summed with a partitioned window, and the per-range
+totals -- one row for each shuffle partition -- are prefixed and joined back.
+Because ranges are cut on the *whole* sort key, one huge group of equal values is
+still split over many ranges by its tie-breaking columns.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
-from functools import cmp_to_key
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provend.session import materialize
+from provend.session import stage_table
 
 
 @dataclass(frozen=True)
@@ -31,97 +28,24 @@ class SortKey:
         return c.asc_nulls_first() if self.ascending else c.desc_nulls_last()
 
 
-def _cmp_values(a, b, ascending: bool) -> int:
-    # Spark: ascending puts NULL first, descending (nulls last) puts NULL last.
-    if a is None or b is None:
-        if a is None and b is None:
-            return 0
-        first = a is None
-        return (-1 if first else 1) if ascending else (1 if first else -1)
-    if a == b:
-        return 0
-    lt = a < b
-    if ascending:
-        return -1 if lt else 1
-    return 1 if lt else -1
-
-
-def _row_cmp(keys: list[SortKey]):
-    def cmp(r1, r2):
-        for i, k in enumerate(keys):
-            c = _cmp_values(r1[i], r2[i], k.ascending)
-            if c:
-                return c
-        return 0
-    return cmp
-
-
-def _after(keys: list[SortKey], boundary: tuple) -> Column:
-    """Column: True when the row's key sorts strictly after ``boundary``."""
-    expr = F.lit(False)
-    # Build from the last key backwards: after_i = gt_i OR (eq_i AND after_{i+1}).
-    for k, b in reversed(list(zip(keys, boundary))):
-        c = F.col(k.name)
-        if b is None:
-            if k.ascending:   # NULL is the smallest: any non-null is after it
-                gt, eq = c.isNotNull(), c.isNull()
-            else:             # NULL is last: nothing is after it
-                gt, eq = F.lit(False), c.isNull()
-        else:
-            lit = F.lit(b)
-            if k.ascending:
-                gt = F.coalesce(c > lit, F.lit(False))
-            else:
-                gt = F.coalesce(c < lit, c.isNull())
-            eq = F.coalesce(c == lit, F.lit(False))
-        expr = gt | (eq & expr)
-    return expr
-
-
-def _bucket_expr(keys: list[SortKey], boundaries: list[tuple], lo: int = 0, hi: int | None = None) -> Column:
-    """Binary search over sorted boundaries: number of boundaries the row is after."""
-    if hi is None:
-        hi = len(boundaries)
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(_after(keys, boundaries[mid]), _bucket_expr(keys, boundaries, mid + 1, hi)) \
-        .otherwise(_bucket_expr(keys, boundaries, lo, mid))
-
-
 def running_totals(df: DataFrame, keys: list[SortKey], value: str | None, *,
                    cum_col: str = "_cum", pos_col: str = "_pos", total_col: str | None = None,
-                   rows_per_bucket: int = 500_000, max_buckets: int = 2048,
-                   samples_per_bucket: int = 40, seed: int = 17, checkpoint: bool = True) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """Add the inclusive running sum of ``value`` and the 1-based position in key order.
 
     ``keys`` must order the rows totally (add tie-breaking columns). ``value`` may
-    be None to compute positions only. ``total_col`` adds the grand total.
+    be None to compute positions only. ``total_col`` adds the grand total. ``buckets``
+    is the number of ranges (default: the session's shuffle partitions).
     """
-    base = materialize(df) if checkpoint else df
-    n = base.count()
-    nb = max(1, min(max_buckets, math.ceil(n / max(rows_per_bucket, 1))))
-    names = [k.name for k in keys]
-    if nb == 1:
-        bucket = F.lit(0)
-    else:
-        target = nb * samples_per_bucket
-        frac = min(1.0, 1.5 * target / n)
-        sample = [tuple(r) for r in base.select(*names).sample(False, frac, seed).limit(3 * target).collect()]
-        sample.sort(key=cmp_to_key(_row_cmp(keys)))
-        bounds: list[tuple] = []
-        for i in range(1, nb):
-            b = sample[(i * len(sample)) // nb] if sample else None
-            if b is not None and (not bounds or _row_cmp(keys)(bounds[-1], b) != 0):
-                bounds.append(b)
-        bucket = _bucket_expr(keys, bounds)
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [k.order() for k in keys]
+    # the staged table fixes each row's range: windows and totals below must agree on it
+    b = stage_table(df.repartitionByRange(buckets, *order).withColumn("_bkt", F.spark_partition_id()), "ranges")
     val = F.col(value) if value else F.lit(0)
-    zero = F.lit(0).cast(base.schema[value].dataType) if value else F.lit(0)
-    b = base.withColumn("_bkt", bucket)
-    w = Window.partitionBy("_bkt").orderBy(*[k.order() for k in keys]) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = F.lit(0).cast(df.schema[value].dataType) if value else F.lit(0)
+    w = Window.partitionBy("_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = b.withColumn("_lcum", F.sum(val).over(w)).withColumn("_lpos", F.row_number().over(w))
-    # Per-bucket totals: at most nb rows, so prefixing them in one task is bounded.
+    # Per-range totals: at most `buckets` rows, so prefixing them in one task is bounded.
     per = b.groupBy("_bkt").agg(F.coalesce(F.sum(val), zero).alias("_bsum"), F.count(F.lit(1)).alias("_bcnt"))
     wb = Window.orderBy("_bkt")
     per = per.select(
@@ -137,3 +61,36 @@ def running_totals(df: DataFrame, keys: list[SortKey], value: str | None, *,
     if total_col:
         out = out.withColumn(total_col, F.col("_gtotal"))
     return out.drop("_bkt", "_lcum", "_lpos", "_osum", "_ocnt", "_gtotal")
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float], **opts) -> dict[str, list[float | None]]:
+    """The exact, linearly interpolated quantiles ``qs`` of each column; None for a column without values.
+
+    Distinct values are counted (a hot value is one row from then on) and put in order over the cluster,
+    all columns at once; only the rows next to each wanted position come to the driver.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])
+    counts = (df.select(F.explode(cells).alias("x")).select("x.*").where(F.col("v").isNotNull())
+              .groupBy("name", "v").agg(F.count(F.lit(1)).alias("n")))
+    placed = running_totals(counts, [SortKey("name"), SortKey("v")], "n", cum_col="upto", **opts)
+    sizes = {r["name"]: r["n"] for r in placed.groupBy("name").agg(F.sum("n").alias("n")).collect()}
+    before, spots = 0, {}
+    for c in sorted(sizes):
+        for q in qs:
+            at = (sizes[c] - 1) * q
+            lo = int(at)
+            spots[c, q] = before + lo, before + min(lo + 1, sizes[c] - 1), at - lo
+        before += sizes[c]
+    wanted = sorted({p for lo, hi, _ in spots.values() for p in (lo, hi)})
+    if not wanted:
+        return {c: [None] * len(qs) for c in columns}
+    hit = F.exists(F.array(*map(F.lit, wanted)), lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))
+    rows = placed.where(hit).select("v", "upto", "n").collect()  # at most two for each wanted quantile
+    value = {p: r["v"] for r in rows for p in wanted if r["upto"] - r["n"] <= p < r["upto"]}
+
+    def quantile(c: str, q: float) -> float | None:
+        if (c, q) not in spots:
+            return None
+        lo, hi, rest = spots[c, q]
+        return value[lo] * (1 - rest) + value[hi] * rest if rest else value[lo]
+    return {c: [quantile(c, q) for q in qs] for c in columns}

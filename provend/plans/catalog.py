@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -328,6 +329,25 @@ def q_silhouette(spark, d):
     return s.select("supplier", "label", *[r6(c).alias(c) for c in ["a", "b", "silhouette"]])
 
 
+#: centres for the query below, not in the order of their tiers
+FIXED_CENTRES = ((0.2, 1.0, 0.5), (-0.1, -0.6, -0.4), (0.0, 0.1, 0.0))
+
+
+def _distance_sql(centre) -> str:
+    cols = ("spend_log_scaled", "lt_median_scaled", "lt_std_scaled")
+    return " + ".join(f"pow({c} - ({v}), 2)" for c, v in zip(cols, centre))
+
+
+@query("cluster_tiers", O.with_(*RISK_BASE) + f""",
+dist AS (SELECT supplier, {", ".join(f"{_distance_sql(c)} AS d{i}" for i, c in enumerate(FIXED_CENTRES))} FROM scaled)
+SELECT supplier, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 'High Risk' WHEN d1 <= d2 THEN 'Low Risk'
+                      ELSE 'Medium Risk' END AS risk_tier FROM dist""")
+def q_cluster_tiers(spark, d):
+    centres = np.array(FIXED_CENTRES)
+    label = risk.nearest_centre([c + "_scaled" for c in risk.FEATURES], centres)
+    return scaled_features(spark, d).select("supplier", risk.cluster_tier(label, centres).alias("risk_tier"))
+
+
 @query("supplier_risk")
 def q_supplier_risk(spark, d):
     return risk.segment_suppliers(matrix(spark, d))

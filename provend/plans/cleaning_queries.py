@@ -20,8 +20,8 @@ from provend.sources import vouchers as vs
 DOCS = ["doc_date", "voucher_no", "supplier", "item", "qty", "price", "amount", "unit"]
 
 
-def voucher_fixture(spark, d) -> str:
-    return td.write_voucher_fixture(spark, d, scratch_path(spark, "vouchers"))
+def voucher_fixture(spark, d, kind: str = "pv") -> str:
+    return td.write_voucher_fixture(spark, d, scratch_path(spark, "vouchers"), kind)
 
 
 def raw_vouchers(spark, d):
@@ -33,6 +33,20 @@ def q_load_vouchers(spark, d):
     return vs.read_vouchers(spark, voucher_fixture(spark, d), kind="pv")
 
 
+@query("load_pov", O.with_(O.VOUCHERS) + "SELECT " + ", ".join(DOCS) + " FROM vclean")
+def q_load_pov(spark, d):
+    """Order exports: the same columns in another order."""
+    return vs.read_vouchers(spark, voucher_fixture(spark, d, "pov"), kind="pov")
+
+
+@query("load_grn", O.with_(O.VOUCHERS) + """
+SELECT doc_date, voucher_no, supplier, item, qty, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS amount, unit
+FROM vclean""")
+def q_load_grn(spark, d):
+    """Receipt exports: no price or amount column."""
+    return vs.read_vouchers(spark, voucher_fixture(spark, d, "grn"), kind="grn")
+
+
 @query("forward_fill", O.with_(O.VOUCHERS) + """
 SELECT vdate_text AS doc_date, CAST(l_orderkey AS VARCHAR) AS voucher_no, vsupp_text AS supplier, item_text AS item
 FROM vfill""")

@@ -36,9 +36,46 @@ def q_training_counts(spark, d):
 @query("boosted_forecast")
 def q_boosted_forecast(spark, d):
     models = materialize(model_table(spark, d))
-    return fc.monthly_forecast(boosting.boosted_forecast(base_forecast(spark, d), models, 1.30)) \
-        .join(boosting.boosted_forecast(base_forecast(spark, d), models, 1.30)
-              .select("item", "supplier", "unit", "quarterly_reorder_qty"), ["item", "supplier", "unit"])
+    out = boosting.boosted_forecast(base_forecast(spark, d), models, 1.30)
+    return out.select("item", "supplier", "unit", "monthly_reorder_qty", "forecast_algorithm", "backtest_mape_pct",
+                      "quarterly_reorder_qty")
+
+
+#: two trees: one steps by month, one by the month counter
+MONTH_TREE = ([1] * boosting.N_SPLIT, [7.0, 4.0, 10.0, 2.0, 5.0, 8.0, 11.0], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0])
+COUNTER_TREE = ([0] * boosting.N_SPLIT, [40.0] + [boosting.NO_SPLIT] * (boosting.N_SPLIT - 1), [-2.5, 0.0, 0.0, 0.0, 4.5, 0.0, 0.0, 0.0])
+
+
+@query("boosted_score", O.with_(O.PV, O.DEMAND) + """,
+steps AS (SELECT *, months_covered + s AS t, (months_covered + s) % 12 + 1 AS mon FROM demand, range(3) r(s)),
+scored AS (
+  SELECT item, supplier, unit, s, 10.0
+         + CASE WHEN mon < 2 THEN 1.0 WHEN mon < 4 THEN 2.0 WHEN mon < 5 THEN 3.0 WHEN mon < 7 THEN 4.0
+                WHEN mon < 8 THEN 5.0 WHEN mon < 10 THEN 6.0 WHEN mon < 11 THEN 7.0 ELSE 8.0 END
+         + CASE WHEN t >= 40 THEN 4.5 ELSE -2.5 END AS p
+  FROM steps WHERE right(supplier, 1) IN ('0', '2', '4', '6', '8')),
+sums AS (SELECT item, supplier, unit, MAX(CASE WHEN s = 0 THEN p END) AS p1, SUM(p) AS p3 FROM scored
+         GROUP BY item, supplier, unit)
+SELECT d.item, d.supplier, d.unit,
+       CAST(ceil(CAST(COALESCE(p1, avg_monthly_qty) AS DOUBLE) * 1.3) AS DOUBLE) AS monthly_reorder_qty,
+       CAST(ceil(CAST(COALESCE(p3, avg_quarterly_qty) AS DOUBLE) * 1.3) AS DOUBLE) AS quarterly_reorder_qty,
+       CASE WHEN p1 IS NULL THEN 'Baseline Average' ELSE 'XGBoost' END AS forecast_algorithm,
+       CASE WHEN p1 IS NOT NULL THEN CAST(25.0 AS DOUBLE) END AS backtest_mape_pct
+FROM demand d LEFT JOIN sums USING (item, supplier, unit)""")
+def q_boosted_score(spark, d):
+    """Scoring by a given model table: fixed trees for the suppliers of even numbers."""
+    base = base_forecast(spark, d)
+    feat, thr, leaf = (a + b for a, b in zip(MONTH_TREE, COUNTER_TREE))
+    kept = F.right("supplier", F.lit(1)).isin("0", "2", "4", "6", "8")
+    models = base.select("item", "supplier").distinct().select(
+        "item", "supplier", F.lit(12).cast("long").alias("n_points"), F.lit(None).cast("date").alias("last_month"),
+        F.when(kept, F.lit("persisted")).otherwise(F.lit("failed_validation")).alias("status"),
+        F.lit(10.0).alias("base_score"), F.array(*map(F.lit, feat)).alias("feat"),
+        F.array(*map(F.lit, thr)).alias("thr"), F.array(*map(F.lit, leaf)).alias("leaf"),
+        F.lit(0.25).alias("model_mape"), F.lit(None).cast("double").alias("baseline_mape"))
+    out = boosting.boosted_forecast(base, models, 1.30)
+    return out.select("item", "supplier", "unit", "monthly_reorder_qty", "quarterly_reorder_qty",
+                      "forecast_algorithm", "backtest_mape_pct")
 
 
 @query("holt_winters_forecast")
@@ -101,5 +138,5 @@ def q_report_manifest(spark, d):
     from provend.session import scratch_path
     from provend.sinks.report import write_report
     docs = pipeline.prepare(spark, docs=td.documents(spark, d))
-    results = pipeline.run(spark, docs)
+    results = pipeline.run(spark, docs, models=pipeline.train(docs))
     return write_report(spark, results, scratch_path(spark, "report")).drop("path")

@@ -12,14 +12,15 @@ PV = """pv AS (
 
 GRN = """grn AS (
   SELECT CAST(l_shipdate AS DATE) AS doc_date, CAST(l_orderkey AS VARCHAR) AS voucher_no, s_name AS supplier,
-         CAST(l_partkey AS VARCHAR) AS item, l_quantity AS qty
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 10 <> 1)"""
+         CAST(l_partkey AS VARCHAR) || CASE WHEN l_orderkey % 10 = 1 THEN '-x' ELSE '' END AS item, l_quantity AS qty
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
 
 POV = """pov AS (
   SELECT CAST(l_shipdate AS DATE) - CAST((l_orderkey * 7 + l_partkey * 3 + l_linenumber) % 21 AS INTEGER) AS doc_date,
-         CAST(l_orderkey AS VARCHAR) AS voucher_no, s_name AS supplier, CAST(l_partkey AS VARCHAR) AS item,
+         CAST(l_orderkey AS VARCHAR) AS voucher_no, s_name AS supplier,
+         CAST(l_partkey AS VARCHAR) || CASE WHEN l_orderkey % 10 = 0 THEN '-x' ELSE '' END AS item,
          l_quantity AS qty
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 10 <> 0)"""
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
 
 DEMAND = """months AS (
   SELECT GREATEST(COUNT(DISTINCT date_trunc('month', doc_date)), 1) AS m FROM pv),
@@ -112,7 +113,7 @@ def with_(*ctes: str) -> str:
 VL_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_shipdate"
 
 VOUCHERS = """vl AS (
-  SELECT l_orderkey % 16 AS file_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+  SELECT l_orderkey // 10000 AS file_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
          l_returnflag, l_shipdate, p_brand, s_name, p_name,
          (l_orderkey * 7 + CAST(l_quantity AS BIGINT)) % 17 AS dirt,
          ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY """ + VL_ORDER + """) = 1 AS is_first

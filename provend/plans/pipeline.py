@@ -62,6 +62,7 @@ def train(docs: dict[str, DataFrame], cfg: Config = Config(), out_path: str | No
 
 def run(spark: SparkSession, docs: dict[str, DataFrame], cfg: Config = Config(), stock: DataFrame | None = None,
         models: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All analyses. ``models`` is the table of a ``train`` run; without it no row gets a boosted forecast."""
     pov, grn, pv = docs["pov"], docs["grn"], docs["pv"]
     links = stage_table(linking.link_orders(pov, grn, cfg.day_window, cfg.max_qty_ratio), "links")
     lead = agg.lead_time_stats(links, cfg.low_sample_observations)
@@ -76,9 +77,10 @@ def run(spark: SparkSession, docs: dict[str, DataFrame], cfg: Config = Config(),
         base = fc.simple_forecast(classified, cfg.growth_rate)
     base = materialize(base)
     if cfg.use_models:
-        models = models if models is not None else train(docs, cfg)
-        fits = materialize(smoothing.fit_pairs(ser.dense_series(pv), cfg.seasonal_periods, cfg.hw_mape_mode))
-        forecast = fc.ensemble_forecast(base, boosting.boosted_forecast(base, models, cfg.growth_rate),
+        fits = materialize(smoothing.fit_pairs(ser.dense_series(pv), cfg.seasonal_periods, cfg.hw_mape_mode,
+                                               cfg.holt_winters_trend, cfg.holt_winters_seasonal))
+        boosted = fc.without_models(base) if models is None else boosting.boosted_forecast(base, models, cfg.growth_rate)
+        forecast = fc.ensemble_forecast(base, boosted,
                                         smoothing.holt_winters_forecast(base, fits, cfg.growth_rate))
     else:
         forecast = base

@@ -52,13 +52,19 @@ def _receipt_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(supp, li.l_suppkey == supp.s_suppkey)
 
 
+def _item(last_digit: int):
+    """Item key; orders with this last digit get one that the other side does not have."""
+    key = F.col("l_partkey").cast("string")
+    return F.when(F.col("l_orderkey") % 10 == last_digit, F.concat(key, F.lit("-x"))).otherwise(key).alias("item")
+
+
 def grn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _receipt_base(spark, sf_dir).where(F.col("l_orderkey") % 10 != 1)
+    b = _receipt_base(spark, sf_dir)
     return b.select(
         F.col("l_shipdate").cast("date").alias("doc_date"),
         F.col("l_orderkey").cast("string").alias("voucher_no"),
         F.col("s_name").alias("supplier"),
-        F.col("l_partkey").cast("string").alias("item"),
+        _item(1),
         F.col("l_quantity").alias("qty"),
         F.lit(None).cast("double").alias("price"),
         F.lit(None).cast("double").alias("amount"),
@@ -67,13 +73,13 @@ def grn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pov_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _receipt_base(spark, sf_dir).where(F.col("l_orderkey") % 10 != 0)
+    b = _receipt_base(spark, sf_dir)
     offset = (F.col("l_orderkey") * 7 + F.col("l_partkey") * 3 + F.col("l_linenumber")) % 21
     return b.select(
         F.date_sub(F.col("l_shipdate").cast("date"), offset.cast("int")).alias("doc_date"),
         F.col("l_orderkey").cast("string").alias("voucher_no"),
         F.col("s_name").alias("supplier"),
-        F.col("l_partkey").cast("string").alias("item"),
+        _item(0),
         F.col("l_quantity").alias("qty"),
         F.lit(None).cast("double").alias("price"),
         F.lit(None).cast("double").alias("amount"),
@@ -87,8 +93,11 @@ def documents(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 # ---------------------------------------------------------------- voucher CSV fixture
 
-VOUCHER_FILES = 16
-HEADER_LINE = "Date,Vch/Bill No,Particulars,Item Details,Qty.,Price,Amount,Unit"
+ORDERS_PER_FILE = 10_000
+#: columns of each kind's export, in file order
+FIELDS = {"pv": ["Date", "Vch/Bill No", "Particulars", "Item Details", "Qty.", "Price", "Amount", "Unit"],
+          "pov": ["Unit", "Date", "Vch/Bill No", "Particulars", "Item Details", "Amount", "Price", "Qty."],
+          "grn": ["Date", "Vch/Bill No", "Particulars", "Item Details", "Qty.", "Unit"]}
 METADATA = ["Provend Test Company", "1 Market Street", "Purchase Register", "Period", "", "Generated"]
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
               "l_returnflag", "l_shipdate"]
@@ -117,7 +126,7 @@ def voucher_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(dirt == 4, F.concat(F.lit("\t"), F.upper("p_brand"), F.lit(" "))).otherwise(F.col("p_brand")))
     supplier = F.when(dirt == 8, F.concat(F.lit("  "), F.upper("s_name"))).otherwise(F.col("s_name"))
     return j.select(
-        (F.col("l_orderkey") % VOUCHER_FILES).alias("file_id"), *LINE_ORDER,
+        F.floor(F.col("l_orderkey") / ORDERS_PER_FILE).alias("file_id"), *LINE_ORDER,
         F.when(first, date_txt).alias("Date"),
         F.when(first, F.col("l_orderkey").cast("string")).alias("Vch/Bill No"),
         F.when(first, supplier).alias("Particulars"),
@@ -129,15 +138,15 @@ def voucher_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_voucher_fixture(spark: SparkSession, sf_dir: str, out_path: str) -> str:
+def write_voucher_fixture(spark: SparkSession, sf_dir: str, out_path: str, kind: str = "pv") -> str:
     """Write ``voucher_lines`` as one CSV export per file id (6 metadata lines, header on line 7)."""
     lines = voucher_lines(spark, sf_dir)
-    fields = ["Date", "Vch/Bill No", "Particulars", "Item Details", "Qty.", "Price", "Amount", "Unit"]
+    fields = FIELDS[kind]
     opts = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "quote": '"', "escape": '"'}
     body = lines.select("file_id", F.lit(1).alias("_sec"), *LINE_ORDER,
                         F.to_csv(F.struct(*[F.col(f"`{c}`") for c in fields]), opts).alias("value"))
-    files = spark.range(VOUCHER_FILES).select(F.col("id").alias("file_id"))
-    head = files.select("file_id", F.posexplode(F.array(*[F.lit(t) for t in METADATA + [HEADER_LINE]]))
+    files = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / ORDERS_PER_FILE).alias("file_id")).distinct()
+    head = files.select("file_id", F.posexplode(F.array(*[F.lit(t) for t in [*METADATA, ",".join(fields)]]))
                         .alias("_hpos", "value")).select(
         "file_id", F.lit(0).alias("_sec"), F.col("_hpos").cast("long").alias("l_orderkey"),
         *[F.lit(None).cast(t).alias(c) for c, t in
@@ -145,7 +154,7 @@ def write_voucher_fixture(spark: SparkSession, sf_dir: str, out_path: str) -> st
            ("l_extendedprice", "double"), ("l_returnflag", "string"), ("l_shipdate", "timestamp_ntz")]],
         "value")
     allrows = head.unionByName(body)
-    allrows.repartition(VOUCHER_FILES, "file_id") \
+    allrows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file_id") \
         .sortWithinPartitions("file_id", "_sec", *LINE_ORDER) \
         .select("file_id", "value") \
         .write.mode("overwrite").partitionBy("file_id").text(out_path)

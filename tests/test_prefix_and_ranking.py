@@ -1,9 +1,10 @@
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from provend.operators.prefix import SortKey, running_totals
+from provend.operators.prefix import SortKey, exact_quantiles, running_totals
 from provend.operators.ranking import abc_classify, rank_pct
 
 
@@ -11,13 +12,13 @@ def _demand(spark, rows):
     return spark.createDataFrame(rows, "item string, supplier string, unit string, total_value double")
 
 
-@pytest.mark.parametrize("rows_per_bucket", [1, 7, 1000])
-def test_running_totals_equal_plain_window(spark, rows_per_bucket):
+@pytest.mark.parametrize("buckets", [1, 7, 300])
+def test_running_totals_equal_plain_window(spark, buckets):
     # many ties (values 0..4) so ties straddle bucket edges; keys break them
     rows = [(f"i{i % 13}", f"s{i % 7}", f"u{i}", float(i % 5)) for i in range(300)]
     df = _demand(spark, rows)
     keys = [SortKey("total_value", False), SortKey("item"), SortKey("supplier"), SortKey("unit")]
-    got = running_totals(df, keys, "total_value", rows_per_bucket=rows_per_bucket, samples_per_bucket=5) \
+    got = running_totals(df, keys, "total_value", buckets=buckets) \
         .select("item", "supplier", "unit", "_cum", "_pos").toPandas()
     w = Window.orderBy(F.desc("total_value"), "item", "supplier", "unit")
     exp = df.select("item", "supplier", "unit", F.sum("total_value").over(w).alias("_cum"),
@@ -52,10 +53,23 @@ def test_abc_thresholds(spark):
 def test_rank_pct_matches_pandas_average_rank(spark):
     vals = [3.0, 1.0, 3.0, None, 2.0, 3.0, 1.0]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, v double")
-    got = {r.id: r.p for r in rank_pct(df, "v", "p", rows_per_bucket=2, samples_per_bucket=3).collect()}
+    got = {r.id: r.p for r in rank_pct(df, "v", "p", buckets=4).collect()}
     exp = pd.Series(vals).rank(pct=True)
     for i, e in enumerate(exp):
         if pd.isna(e):
             assert got[i] is None
         else:
             assert abs(got[i] - e) < 1e-12
+
+
+def test_exact_quantiles_of_several_columns(spark):
+    rng = np.random.default_rng(9)
+    rows = [(float(a), float(b), None) for a, b in zip(rng.normal(size=301), rng.integers(0, 4, 301))] + [(None, 2.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, empty double")
+    qs = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = exact_quantiles(df, ["b", "a", "empty"], qs, buckets=5)
+    for i, c in enumerate("ab"):
+        values = [r[i] for r in rows if r[i] is not None]
+        assert np.allclose(got[c], np.quantile(values, qs), rtol=0, atol=1e-12)
+    assert got["empty"] == [None] * 5
+    assert exact_quantiles(df.where("b > 9"), ["a"], [0.5]) == {"a": [None]}
