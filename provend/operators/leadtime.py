@@ -8,9 +8,14 @@ pair-average baseline, whose averages come from all links as in the reference.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provend.operators.prefix import SortKey, running_totals
+from provend.session import materialize
+
 FEATURES = ["item_encoded", "supplier_encoded", "order_qty", "month_of_year"]
 
 
@@ -28,12 +33,47 @@ def _split(df: DataFrame, train_fraction: float, seed: int) -> tuple[DataFrame,
     return tagged.where("_train").drop("_train"), tagged.where("NOT _train").drop("_train")
 
 
+def _codes(values: DataFrame, name: str) -> DataFrame:
+    """(name, code): the distinct values numbered from 0 in alphabetical order, over the cluster."""
+    known = values.where(F.col(name).isNotNull()).select(name).distinct()
+    placed = running_totals(known, [SortKey(name)], None)
+    return placed.select(name, (F.col("_pos") - 1).cast("double").alias(f"{name}_encoded"))
+
+
+@dataclass
+class LeadTimeModel:
+    """The forest with the code tables of items and suppliers; values outside them have code -1."""
+
+    forest: object  # PipelineModel: feature vector and random forest
+    items: DataFrame
+    suppliers: DataFrame
+
+    def encode(self, rows: DataFrame) -> DataFrame:
+        return (rows.join(self.items, "item", "left").join(self.suppliers, "supplier", "left")
+                .withColumns({c: F.coalesce(c, F.lit(-1.0)) for c in FEATURES[:2]}))
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.forest.transform(self.encode(rows))
+
+    def save(self, path: str) -> None:
+        self.forest.write().overwrite().save(f"{path}/forest")
+        self.items.write.mode("overwrite").parquet(f"{path}/items")
+        self.suppliers.write.mode("overwrite").parquet(f"{path}/suppliers")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LeadTimeModel:
+        from pyspark.ml import PipelineModel
+        return LeadTimeModel(PipelineModel.load(f"{path}/forest"), spark.read.parquet(f"{path}/items"),
+                             spark.read.parquet(f"{path}/suppliers"))
+
+
 def train_lead_time_model(links: DataFrame, stats: DataFrame, min_rows: int = 30, train_fraction: float = 0.8,
-                          seed: int = 42, n_trees: int = 100, max_depth: int = 10, model_path: str | None = None):
+                          seed: int = 42, n_trees: int = 100, max_depth: int = 10, max_bins: int = 32,
+                          model_path: str | None = None):
     """Fit, evaluate and (if better than the baseline) save; returns (summary DataFrame, model or None)."""
-    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml import Pipeline
     from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     spark = links.sparkSession
@@ -47,17 +87,11 @@ def train_lead_time_model(links: DataFrame, stats: DataFrame, min_rows: int = 30
                                      "kept boolean, status string"), None
     train, test = _split(data, train_fraction, seed)
     train, test = train.cache(), test.cache()
-    idx = StringIndexer(inputCols=["item", "supplier"], outputCols=["_item_idx", "_supp_idx"],
-                        stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
-    # StringIndexer gives unseen labels the index len(labels); the reference encoder uses -1.
-    n_items, n_supps = (len(labels) for labels in idx.labelsArray)
-    enc = SQLTransformer(statement=(
-        f"SELECT *, CASE WHEN _item_idx >= {n_items} THEN -1.0 ELSE _item_idx END AS item_encoded, "
-        f"CASE WHEN _supp_idx >= {n_supps} THEN -1.0 ELSE _supp_idx END AS supplier_encoded FROM __THIS__"))
+    model = LeadTimeModel(None, _codes(train, "item"), _codes(train, "supplier"))
+    model.items, model.suppliers = materialize(model.items), materialize(model.suppliers)
     va = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    rf = RandomForestRegressor(numTrees=n_trees, maxDepth=max_depth, seed=seed, labelCol="label")
-    rest = Pipeline(stages=[enc, va, rf]).fit(idx.transform(train))
-    model = PipelineModel(stages=[idx, *rest.stages])
+    rf = RandomForestRegressor(numTrees=n_trees, maxDepth=max_depth, maxBins=max_bins, seed=seed, labelCol="label")
+    model.forest = Pipeline(stages=[va, rf]).fit(model.encode(train))
     pred = model.transform(test)
     rf_mae = RegressionEvaluator(metricName="mae", labelCol="label").evaluate(pred)
     train_mean = train.agg(F.avg("label")).first()[0]
@@ -65,7 +99,7 @@ def train_lead_time_model(links: DataFrame, stats: DataFrame, min_rows: int = 30
     baseline_mae = base.agg(F.avg(F.abs(F.col("label") - F.col("predicted_lead_time_days")))).first()[0]
     kept = rf_mae < baseline_mae
     if kept and model_path:
-        model.write().overwrite().save(model_path)
+        model.save(model_path)
     n_train, n_test = train.count(), test.count()
     train.unpersist()
     test.unpersist()
@@ -77,9 +111,8 @@ def train_lead_time_model(links: DataFrame, stats: DataFrame, min_rows: int = 30
 
 def load_or_train(links: DataFrame, stats: DataFrame, model_path: str, **kw):
     """Reuse a saved model when it loads, otherwise train (and save if kept)."""
-    from pyspark.ml import PipelineModel
     try:
-        return None, PipelineModel.load(model_path)
+        return None, LeadTimeModel.load(links.sparkSession, model_path)
     except Exception:  # noqa: BLE001 - any load failure means: train a new one
         return train_lead_time_model(links, stats, model_path=model_path, **kw)
 
@@ -91,5 +124,4 @@ def predict_lead_time(rows: DataFrame, stats: DataFrame, model=None) -> DataFram
     feats = rows.withColumn("order_qty", F.col("pov_qty")) \
         .withColumn("month_of_year", F.month("pov_date").cast("double"))
     out = model.transform(feats).withColumnRenamed("prediction", "predicted_lead_time_days")
-    return out.drop("order_qty", "month_of_year", "_item_idx", "_supp_idx", "item_encoded", "supplier_encoded",
-                    "features")
+    return out.drop("order_qty", "month_of_year", "item_encoded", "supplier_encoded", "features")
