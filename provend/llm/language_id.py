@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provend.llm.worker_memory import keep_one
+
 LETTERS = regex.compile(r"\p{L}+")
 LONGEST = 4
 FIT_DOCS = 4000  # labelled documents learned from, for each language
@@ -135,17 +137,6 @@ class Scorer:
         return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-#: the scorer of the last model that this Python worker has seen; its memory serves later tasks too
-_SCORER: dict[str, Scorer] = {}
-
-
-def _scorer(model: Model) -> Scorer:
-    if model.name not in _SCORER:
-        _SCORER.clear()
-        _SCORER[model.name] = Scorer(model)
-    return _SCORER[model.name]
-
-
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         fit_docs: int = FIT_DOCS, max_words: int = MAX_WORDS) -> Model:
     """Learn from labelled documents that are not held out: at most about ``fit_docs`` of each language,
@@ -171,7 +162,8 @@ def predicted(spark, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def guess(texts: pa.Array) -> pa.Array:
-        scorer = _scorer(sent.value)
+        model = sent.value
+        scorer = keep_one(model.name, lambda: Scorer(model))  # its memory serves later tasks too
         out = [scorer.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()),
                                            pa.array([s for _, s in out], pa.float64())], ["lang", "score"])

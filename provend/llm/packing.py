@@ -30,12 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from provend.llm.pieces import MAX_ENTRIES, SLICE_CHARS, slices
 from provend.llm.pieces import encoder as encoder_of
-from provend.llm.pieces import slices
 from provend.session import stage_table
 
 CAPACITY = 2048
 END_ID = 0
+BATCH_DOCS = 2000  # documents held as strings at a time
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 PLAN = "length long, first long, last long, per_bin long, sequence long, place long"
 
@@ -117,16 +118,17 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, *, capacity: int = CAPACITY,
-                 id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False,
+                 slice_chars: int = SLICE_CHARS, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """Pieces of all documents, staged: doc_id, piece, start, length, ids_crc32, part, nth (and ids if kept).
 
     ``part`` is the task, ``nth`` the piece's number among those of its length in that task.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, encoder = TaskContext.get().partitionId(), {}, encoder_of(vocabulary, end_id, lower=True)
-        for batch in batches:
-            doc_ids, texts = (c.to_pylist() for c in batch.columns)
-            for lo, hi in slices(texts):
+        part, seen, encoder = TaskContext.get().partitionId(), {}, encoder_of(vocabulary, end_id, True, max_entries)
+        for doc_ids, texts in ((c.to_pylist() for c in b.slice(i, BATCH_DOCS).columns)
+                               for b in batches for i in range(0, b.num_rows, BATCH_DOCS)):
+            for lo, hi in slices(texts, slice_chars):
                 rows: list[tuple] = []
                 flat, sizes = encoder.encode_all(texts[lo:hi])
                 flat = flat.astype("<u4")
@@ -173,11 +175,15 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, *, capacity: int = CAPACITY, keep_ids: bool = False,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every piece's place: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and its ids if kept)."""
+         id_col: str = "doc_id", text_col: str = "text", slice_chars: int = SLICE_CHARS,
+         max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """Every piece's place: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and its ids if kept).
+
+    ``slice_chars`` and ``max_entries`` bound the encoder's memory; the result does not depend on them.
+    """
     vocabulary = vocabulary or public_tokenizers.path("word_bpe_49k.json")
     return packed(token_pieces(docs, vocabulary, capacity=capacity, keep_ids=keep_ids, id_col=id_col,
-                               text_col=text_col), capacity)
+                               text_col=text_col, slice_chars=slice_chars, max_entries=max_entries), capacity)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

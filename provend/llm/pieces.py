@@ -20,13 +20,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from provend.llm.worker_memory import keep_one
+
 #: Letters and numbers among the characters that are not uncommon.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿĀ-įı-ſ"
 NUMBER = "0-9²³¹¼-¾"
@@ -38,9 +39,11 @@ UNCOMMON = re.compile(r"[^\t\n\r -~¡-ÿĀ-įı-ſ]|<\|")
 #: Spaces next to other white space: there a piece may hold more than one chunk's space.
 MIXED_SPACE = ("  ", " \n", "\n ", "\t", "\r")
 MAX_ENTRIES = 1_000_000
-SLICE_CHARS = 1 << 24
+SLICE_CHARS = 1 << 23
 MARK = "\0"  # stands between pieces on their way through the library; not a common character
 CALL_PIECES = 200
+CUT_CHUNKS = 20_000
+GATHERED = 100_000  # stretches copied at a time
 
 
 def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
@@ -58,10 +61,14 @@ def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[
 
 def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches ``rows`` of ``flat`` one after another, and their sizes."""
-    n = sizes[rows]
-    at = np.repeat(starts[rows] - np.cumsum(n) + n, n)
-    at += np.arange(len(at))
-    return flat[at], n
+    out = [flat[:0]]
+    for i in range(0, len(rows), GATHERED):
+        part = rows[i:i + GATHERED]
+        n = sizes[part]
+        at = np.repeat(starts[part] - np.cumsum(n) + n, n)
+        at += np.arange(len(at))
+        out.append(flat[at])
+    return np.concatenate(out), sizes[rows]
 
 
 def _bounds(sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +115,6 @@ class PieceEncoder:
         return np.concatenate(flat), np.concatenate(sizes)
 
     def _piece_rows(self, pieces: list[str]) -> np.ndarray:
-        if len(self.rows) > self.max_entries:
-            self._reset()
         known, row_of = len(self.rows), self.rows.setdefault
         rows = np.array([row_of(p, len(self.rows)) for p in pieces], dtype=np.int64)
         new = len(self.rows) - known
@@ -120,11 +125,22 @@ class PieceEncoder:
             self.flat = np.concatenate([self.flat, flat])
         return rows
 
+    def _cut_rows(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the chunks' pieces, one after another, and the number of pieces of each chunk."""
+        rows, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(0, len(chunks), CUT_CHUNKS):  # pieces of few chunks at a time are held as strings
+            cuts = [self.cut(c) for c in chunks[i:i + CUT_CHUNKS]]
+            rows.append(self._piece_rows([p for ps in cuts for p in ps]))
+            counts.append(np.fromiter(map(len, cuts), np.int64, len(cuts)))
+        return np.concatenate(rows), np.concatenate(counts)
+
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the whole texts, each closed by the end id, one after another; and the number of ids of each.
 
         A null text counts as empty.
         """
+        if len(self.rows) > self.max_entries:
+            self._reset()
         texts = [t or "" for t in texts]
         odd = [i for i, t in enumerate(texts) if UNCOMMON.search(t)]
         mixed = [] if self.lower else [i for i, t in enumerate(texts) if any(x in t for x in MIXED_SPACE)]
@@ -138,21 +154,22 @@ class PieceEncoder:
         chunks = pc.utf8_split_whitespace(plain) if self.lower else pc.split_pattern(plain, " ")
         n_chunks = chunks.value_lengths().to_numpy().astype(np.int64)
         coded = chunks.flatten().dictionary_encode()
-        codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        codes, distinct = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        del plain, chunks, coded
         if self.lower:
-            cuts = [self.cut(c.lower()) for c in distinct]
+            distinct = [c.lower() for c in distinct]
         else:  # white space counts: a chunk has the space before it, but a text's first has none
-            cuts = [self.cut(" " + c) for c in distinct] + [self.cut(h) for h in heads]
             codes[np.cumsum(n_chunks) - n_chunks] = len(distinct) + np.arange(len(texts))
-        rows = self._piece_rows([p for ps in cuts for p in ps])
+            distinct = [" " + c for c in distinct] + heads
+        rows, counts = self._cut_rows(distinct)
         flat, sizes = _gathered(self.flat, self.starts, self.sizes, rows)
-        starts, sizes = _bounds(sizes, np.fromiter(map(len, cuts), np.int64, len(cuts)))
+        starts, sizes = _bounds(sizes, counts)
         # every text's last chunk is the end id, for uncommon texts after their ids
         lasts = [self.end]
         if odd:
             found = self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)
             lasts += [np.append(np.array(e.ids, dtype=self.dtype), self.end) for e in found]
-        last = np.full(len(texts), len(cuts), dtype=np.int64)
+        last = np.full(len(texts), len(distinct), dtype=np.int64)
         last[odd] += 1 + np.arange(len(odd))
         n_last = np.array([len(x) for x in lasts], dtype=np.int64)
         starts = np.concatenate([starts, len(flat) + np.cumsum(n_last) - n_last])
@@ -165,7 +182,7 @@ class PieceEncoder:
         return self.encode_all([text])[0]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, end_id: int, lower: bool) -> PieceEncoder:
+def encoder(path: str, end_id: int, lower: bool, max_entries: int = MAX_ENTRIES) -> PieceEncoder:
     """This worker's encoder of a vocabulary."""
-    return PieceEncoder(path, end_id, lower)
+    key = path, end_id, lower, max_entries
+    return keep_one(key, lambda: PieceEncoder(*key))
