@@ -4,7 +4,9 @@ One pass of an Aho-Corasick automaton over the lower-cased text gives every
 place of a keyword. The rule of that keyword is tried there and nowhere else,
 anchored at the hit, so a text without keywords costs the one pass. Rules whose
 tokens carry their own check value (a CRC32 in base 62, a decodable header, a
-DER length) accept a match only if the value is right. Runs of hex digits have
+DER length, the lengths in an OpenSSH key) accept a match only if the value is right.
+An encrypted key with header lines has no value to check; its body must be base64. Lines
+of a key may be parted by escaped line breaks, as in JSON. Runs of hex digits have
 no keyword; they are found by a plain run search.
 
 The three base kinds follow their definition exactly: leftmost non-overlapping
@@ -41,7 +43,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]*(?:(\.)[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)?")
-PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+                 r"((?:(?:\s|\\[nr])*+[A-Za-z][A-Za-z0-9-]*+:(?:(?!-----|\\[nr])[^\r\n])*+)*+)"  # header lines
+                 r"((?:[A-Za-z0-9+/=\s]|\\[nr])++)-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+ENCRYPTED = re.compile(r"(?:^|\s|\\[nr])Proc-Type:[ \t]*4[ \t]*,[ \t]*ENCRYPTED")
+LINE_BREAKS = re.compile(r"\s|\\[nr]")
+OPENSSH = b"openssh-key-v1\0"
+OPENSSH_TAGS = {b"aes128-gcm@openssh.com": 16, b"aes256-gcm@openssh.com": 16, b"chacha20-poly1305@openssh.com": 16}
 
 BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
 ASCII_LOWER = {ord(c): c.lower() for c in string.ascii_uppercase}
@@ -72,11 +80,15 @@ def _jwt_ok(m: re.Match) -> bool:
 
 
 def _pem_ok(m: re.Match) -> bool:
-    """The body is base64 of one DER sequence whose stated length is the length it has."""
+    """The body is base64 of one DER sequence or OpenSSH key whose stated lengths are those it has, or encrypted."""
     try:
-        der = base64.b64decode("".join(m[1].split()), validate=True)
+        der = base64.b64decode(LINE_BREAKS.sub("", m[2]), validate=True)
     except (binascii.Error, ValueError):
         return False
+    if ENCRYPTED.search(m[1]):
+        return len(der) > 0
+    if der.startswith(OPENSSH):
+        return _openssh_ok(der)
     if len(der) < 2 or der[0] != 0x30:
         return False
     if der[1] < 0x80:
@@ -85,6 +97,29 @@ def _pem_ok(m: re.Match) -> bool:
     return 0 < n <= 4 and len(der) == 2 + n + int.from_bytes(der[2:2 + n], "big")
 
 
+def _openssh_ok(key: bytes) -> bool:
+    """Cipher, key derivation and its options, number of keys, each public key, private part; some ciphers add a tag."""
+    at = len(OPENSSH)
+
+    def number() -> int:
+        nonlocal at
+        at += 4
+        return int.from_bytes(key[at - 4:at], "big")
+
+    def field() -> bytes:
+        nonlocal at
+        n = number()
+        at += n
+        return key[at - n:at]
+
+    cipher, _, _, keys = field(), field(), field(), number()
+    while keys > 0 and at < len(key):
+        field()
+        keys -= 1
+    private = field()
+    return keys == 0 and len(private) > 0 and len(key) == at + OPENSSH_TAGS.get(cipher, 0)
+
+
 #: keyword (lower case) -> kind, anchored expression, validation of the match
 RULES = {
     **{w: ("assign", ASSIGN, lambda m: len(m[2]) >= 12) for w in

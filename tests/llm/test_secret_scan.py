@@ -66,3 +66,56 @@ def test_query_digests_and_redaction(spark, some_docs, tmp_path):
     df = spark.createDataFrame([("a token=abcdefabcdef1234 b",), (None,), ("plain",)], "text string")
     out = [r[0] for r in df.select(s.redacted(df["text"])).collect()]
     assert out == ["a [SECRET] b", None, "plain"]
+
+
+def wrapped(label, body, headers=""):
+    text = base64.b64encode(body).decode()
+    lines = "\n".join(text[i:i + 70] for i in range(0, len(text), 70))
+    return f"-----BEGIN {label}PRIVATE KEY-----\n{headers}{lines}\n-----END {label}PRIVATE KEY-----"
+
+
+def openssh(cipher=b"none", tag=b""):
+    part = lambda b: len(b).to_bytes(4, "big") + b
+    return (b"openssh-key-v1\0" + part(cipher) + part(b"none") + part(b"") + (1).to_bytes(4, "big")
+            + part(b"public" * 8) + part(b"private!" * 20) + tag)
+
+
+def der(n):
+    return b"\x30\x82" + n.to_bytes(2, "big") + bytes(i * 7 % 256 for i in range(n))
+
+
+SEALED = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,3F17F5316E2BAC89A1B2C3D4E5F60718\n\n"
+PEM_FORMS = {
+    "pkcs8": wrapped("", der(600)), "pkcs8 encrypted": wrapped("ENCRYPTED ", der(700)),
+    "rsa": wrapped("RSA ", der(1190)), "ec": wrapped("EC ", der(300)), "dsa": wrapped("DSA ", der(440)),
+    "openssh": wrapped("OPENSSH ", openssh()),
+    "openssh sealed": wrapped("OPENSSH ", openssh(b"aes256-gcm@openssh.com", b"t" * 16)),
+    "rsa encrypted": wrapped("RSA ", bytes(range(240)) * 5, SEALED),
+    "ec encrypted": wrapped("EC ", bytes(range(128)), SEALED),
+}
+PEM_FORMS |= {"indented": PEM_FORMS["rsa encrypted"].replace("\n", "\n    "),
+              "CRLF": PEM_FORMS["ec encrypted"].replace("\n", "\r\n"),
+              "JSON": PEM_FORMS["pkcs8"].replace("\n", "\\n"),
+              "JSON encrypted": PEM_FORMS["rsa encrypted"].replace("\n", "\\n")}
+
+
+def test_pem_of_each_form_is_found_and_redacted(spark):
+    import corpus_pipeline
+    from conftest import SF
+    rows = [(i, f"before {key} after {i}", "en", "a", 0) for i, key in enumerate(PEM_FORMS.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["found"]] for r in s.scan(docs).collect()}
+    for i, (name, key) in enumerate(PEM_FORMS.items()):
+        assert ("pem", 7, 7 + len(key)) in found[i], name
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.redact_secrets(spark, docs, SF).collect()}
+    assert out == {i: f"before [SECRET] after {i}" for i in range(len(PEM_FORMS))}
+
+
+def test_pem_bodies_that_are_no_key():
+    kinds = lambda t: [k for _, _, k in s.find_spans(t, s._automaton()) if k == "pem"]
+    assert not kinds(wrapped("OPENSSH ", openssh() + b"x")) and not kinds(wrapped("OPENSSH ", openssh()[:-1]))
+    assert not kinds(wrapped("OPENSSH ", b"openssh-key-v1\0" + b"\xff" * 40))
+    assert not kinds(wrapped("RSA ", b"no key", "Comment: 4,ENCRYPTED\n\n"))
+    assert not kinds(wrapped("RSA ", b"", SEALED))
+    assert kinds(wrapped("RSA ", der(300), "Comment: mine\n")) == ["pem"]
+    assert not kinds("a: -----BEGIN PRIVATE KEY-----\n" * 20_000)
