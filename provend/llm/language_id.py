@@ -10,6 +10,13 @@ each language by ``fit_docs``; vocabularies are bounded by ``max_words`` a langu
 so the model that goes to the tasks does not grow with the corpus. Every document
 is predicted, on its whole text.
 
+The score compares learned languages with each other only. Whether a text is of its
+language at all is told by ``evidence``: the mean log frequency of its 3-grams, one for
+each letter, on a scale with 0 for 3-grams drawn evenly from the language's letters and
+1 for the language itself. It depends neither on the length nor on the number of
+languages. ``identified`` keeps texts above half of the lowest percent of the language's
+fit documents; these are weighed by a model learned from the other fit documents.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is
 every text if nothing was learned; ties go to the language first in order; labels
 are never read when predicting; documents without id are not learned from and not
@@ -35,6 +42,10 @@ FIT_DOCS = 4000  # labelled documents learned from, for each language
 MAX_WORDS = 30_000  # words kept for each language
 MAX_SEEN = 200_000  # words outside the vocabulary that a task remembers
 UNKNOWN = "und"
+EVIDENCE = 3  # length of the n-grams that tell text of a language from other letters
+SLICE_WORDS = 4096  # words whose n-grams are looked up at once
+BOUND_PART = 4  # one of so many fit documents is weighed for the bound, not learned from
+BOUND_QUANTILE, BOUND_SHARE = 0.01, 0.5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -58,6 +69,7 @@ class Model:
         self._add(by_word, self.words, logs, lambda w: 0)
         self._add(by_gram, self.grams, logs, len)
         self.logs = np.array(logs, dtype=np.float32).reshape(len(logs), len(self.langs))
+        self.scale = Scale(self, by_word, by_gram)
         self.name = uuid.uuid4().hex
 
     @staticmethod
@@ -100,28 +112,71 @@ class Model:
         return out
 
 
+class Scale:
+    """Log frequencies of 3-grams by language, 0 for their mean over even draws of letters, 1 for that over the language."""
+
+    def __init__(self, model: Model, by_word: dict[str, np.ndarray], by_gram: dict[str, np.ndarray]):
+        self.langs = model.langs
+        grams = [g for g in model.grams if len(g) == EVIDENCE]
+        n = np.array([by_gram[g] for g in grams]).reshape(len(grams), len(self.langs))
+        logs = model.logs[[model.grams[g] for g in grams]]
+        alphabets = [{c for w, of in by_word.items() if of[i] for c in w} for i in range(len(self.langs))]
+        cells = np.array([(len(a) + 2) ** EVIDENCE for a in alphabets])  # letters and the marks of both ends
+        unseen = np.log(0.5 / (n.sum(axis=0) + 0.5 * len(grams)))
+        even = unseen + (logs - unseen).sum(axis=0) / cells
+        typical = (n * logs).sum(axis=0) / n.sum(axis=0)
+        self.grams = {g: i for i, g in enumerate(grams)}
+        self.rows = ((np.vstack([logs, unseen]) - even) / (typical - even)).astype(np.float32)  # the last: never seen
+
+    def sums(self, words: list[str]) -> np.ndarray:
+        """Each word's sum over its 3-grams, one for each letter; words are taken in slices to bound the memory."""
+        out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
+        for at in range(0, len(words), SLICE_WORDS):
+            part, last = words[at:at + SLICE_WORDS], len(self.grams)
+            rows = [self.grams.get(g, last) for w in part for g in Model._grams(w, EVIDENCE)]
+            sizes = np.array([len(w) for w in part])
+            out[at:at + len(part)] = np.add.reduceat(self.rows[rows], np.cumsum(sizes) - sizes, axis=0)
+        return out
+
+    def evidence(self, text: str | None, lang: str) -> float | None:
+        """Evidence that the text is of the language; null without a letter or if the language was not learned."""
+        words = Counter(LETTERS.findall(text.lower())) if text else None
+        if not words or lang not in self.langs:
+            return None
+        n = np.fromiter(words.values(), dtype=np.float64, count=len(words))
+        letters = sum(len(w) * k for w, k in words.items())
+        return float(n @ self.sums(list(words))[:, self.langs.index(lang)] / letters)
+
+
 class Scorer:
-    """A model with a bounded memory of words outside its vocabulary."""
+    """A model with a bounded memory of words outside its vocabulary. Only with ``weighing`` it tells the evidence."""
 
-    def __init__(self, model: Model, max_seen: int = MAX_SEEN):
-        self.model, self.max_seen = model, max_seen
+    def __init__(self, model: Model, max_seen: int = MAX_SEEN, weighing: bool = False):
+        self.model, self.max_seen, self.weighing = model, max_seen, weighing
+        self.known = self._with_evidence(list(model.words), model.logs[:len(model.words)])
         self._reset()
 
+    def _with_evidence(self, words: list[str], logs: np.ndarray) -> np.ndarray:
+        return np.hstack([logs, self.model.scale.sums(words)]) if self.weighing else logs
+
     def _reset(self) -> None:
         self.index = dict(self.model.words)
-        self.rows = np.vstack([self.model.logs[:len(self.index)],
-                               np.zeros((self.max_seen, len(self.model.langs)), dtype=np.float32)])
+        self.rows = np.vstack([self.known, np.zeros((self.max_seen, self.known.shape[1]), dtype=np.float32)])
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.weigh(text)[:2]
+
+    def weigh(self, text: str | None) -> tuple[str, float, float | None]:
+        """Language, score and evidence."""
         words = Counter(LETTERS.findall(text.lower())) if text else None
         if not words or not self.model.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, None
         new = [w for w in words if w not in self.index]
         if len(self.index) + len(new) > len(self.rows):
             self._reset()
             new = [w for w in words if w not in self.index]
         if new:
-            found, fits = self.model.backed_off(new), len(self.rows) - len(self.index)
+            found, fits = self._with_evidence(new, self.model.backed_off(new)), len(self.rows) - len(self.index)
             at = len(self.index)
             self.rows[at:at + min(fits, len(new))] = found[:fits]
             self.index.update(zip(new[:fits], range(at, at + fits)))
@@ -133,43 +188,76 @@ class Scorer:
         total = n @ self.rows[[self.index[w] for w in known]]
         for w, v in extra.items():
             total = total + v * words[w]
+        total, shown = total[:len(self.model.langs)], total[len(self.model.langs):]
         best = int(total.argmax())
-        return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+        score = float(1.0 / np.exp(total - total[best]).sum())
+        letters = sum(len(w) * k for w, k in words.items()) if self.weighing else 0
+        return self.model.langs[best], score, float(shown[best] / letters) if self.weighing else None
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         fit_docs: int = FIT_DOCS, max_words: int = MAX_WORDS) -> Model:
     """Learn from labelled documents that are not held out: at most about ``fit_docs`` of each language,
     chosen by a hash of the id."""
+    rows = fit_sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, fit_docs=fit_docs)
+    return Model({}) if rows is None else learned(rows, max_words)
+
+
+def fit_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, fit_docs: int) -> DataFrame | None:
+    """id, text and lang of the fit documents."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
     sizes = rows.groupBy("lang").count().collect()  # one row for each language
     if not sizes:
-        return Model({})
+        return None
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, fit_docs / r["count"]))))
     chance = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 20)) / float(1 << 20)
-    words = (rows.where(chance < share[F.col("lang")])
-             .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
+    return rows.where(chance < share[F.col("lang")])
+
+
+def learned(rows: DataFrame, max_words: int) -> Model:
+    words = (rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
              .groupBy("lang", "word").count())
     top = Window.partitionBy("lang").orderBy(F.col("count").desc(), "word")
     kept = words.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_words)
     return Model({(r["lang"], r["word"]): r["count"] for r in kept.collect()})  # bounded by max_words a language
 
 
-def predicted(spark, model: Model, text: Column) -> Column:
-    """Column struct<lang, score> of a text column."""
+def predicted(spark, model: Model, text: Column, weighing: bool = False) -> Column:
+    """Column struct<lang, score, evidence> of a text column; evidence is null if not ``weighing``."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang:string,score:double>")
+    @F.arrow_udf("struct<lang:string,score:double,evidence:double>")
     def guess(texts: pa.Array) -> pa.Array:
         model = sent.value
-        scorer = keep_one(model.name, lambda: Scorer(model))  # its memory serves later tasks too
-        out = [scorer.predict(t.as_py()) for t in texts]
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()),
-                                           pa.array([s for _, s in out], pa.float64())], ["lang", "score"])
+        # its memory serves later tasks too
+        scorer = keep_one((model.name, weighing), lambda: Scorer(model, weighing=weighing))
+        out = [scorer.weigh(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _, _ in out], pa.string()),
+                                           pa.array([s for _, s, _ in out], pa.float64()),
+                                           pa.array([e for _, _, e in out], pa.float64())],
+                                          ["lang", "score", "evidence"])
     return guess(text)
 
 
+def least_evidence(rows: DataFrame, model: Model, max_words: int) -> dict[str, float]:
+    """By language of the model: the bound of the evidence, from its fit documents ``rows``.
+
+    A language without a weighed document gets the lowest bound of the others.
+    """
+    weighed = F.pmod(F.xxhash64(F.lit("bound"), "id"), F.lit(BOUND_PART)) == 0
+    sent = rows.sparkSession.sparkContext.broadcast(learned(rows.where(~weighed), max_words).scale)
+
+    @F.arrow_udf("double")
+    def evidence(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        return pa.array([sent.value.evidence(t.as_py(), x.as_py()) for t, x in zip(texts, langs)], pa.float64())
+    told = (rows.where(weighed).select("lang", evidence("text", "lang").alias("evidence"))
+            .where(F.col("evidence").isNotNull()).groupBy("lang")
+            .agg(F.percentile_approx("evidence", BOUND_QUANTILE, 10_000).alias("low")))
+    low = {r["lang"]: max(0.0, BOUND_SHARE * r["low"]) for r in told.collect()}  # one row for each language
+    return {lang: low.get(lang, min(low.values(), default=0.0)) for lang in model.langs}
+
+
 def identify(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
@@ -181,11 +269,18 @@ def identify(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_
 
 
 def identified(docs: DataFrame, *, text_col: str = "text", min_score: float = 0.2) -> DataFrame:
-    """The documents whose language is told with at least ``min_score``, all columns as they were."""
-    model = fit(docs, text_col=text_col)
+    """The documents whose language is told with at least ``min_score`` and whose text shows evidence of that language,
+    all columns as they were."""
+    fitted = fit_sample(docs, id_col="doc_id", text_col=text_col, lang_col="lang", fit_docs=FIT_DOCS)
+    model = Model({}) if fitted is None else learned(fitted, MAX_WORDS)
+    if not model.langs:
+        return docs.limit(0)
+    least = least_evidence(fitted, model, MAX_WORDS)
+    bound = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))
     rows = docs.select(F.struct("*").alias("row"),
-                       predicted(docs.sparkSession, model, F.col(text_col)).alias("guess"))
-    return rows.where((F.col("guess.lang") != UNKNOWN) & (F.col("guess.score") >= min_score)).select("row.*")
+                       predicted(docs.sparkSession, model, F.col(text_col), weighing=True).alias("guess"))
+    return rows.where((F.col("guess.lang") != UNKNOWN) & (F.col("guess.score") >= min_score)
+                      & (F.col("guess.evidence") > bound[F.col("guess.lang")])).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

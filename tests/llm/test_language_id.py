@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -51,3 +52,25 @@ def test_labels_do_not_leak(spark, some_docs):
     b = spark.createDataFrame(rows, a.schema)
     key = lambda r: r["doc_id"]
     assert sorted(s.identify(a).collect(), key=key) == sorted(s.identify(b).collect(), key=key)
+
+
+def test_letters_of_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(5)
+    noise = lambda n: " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 9)))
+                               for _ in range(n))
+    other = ["Привет, это русский текст, которого никто не учил.", "这是一个没有学过的中文文本", "Αυτό είναι ελληνικό κείμενο. " * 200,
+             "هذا نص عربي", *(noise(n) for n in (10, 20, 50, 200, 2000) for _ in range(4))]
+    held = [i for i in range(10 ** 6, 10 ** 6 + 1000) if zlib.crc32(str(i).encode()) % 3 == 1]  # never learned from
+    bad = spark.createDataFrame(list(zip(held, other, ["en"] * len(other))), docs.schema)
+    kept = {d["doc_id"] for d in s.identified(docs.union(bad)).collect()}
+    assert kept == {d["doc_id"] for d in docs.collect()}
+
+
+def test_evidence_is_free_of_length_and_languages():
+    one = s.Scorer(s.Model({("en", "house"): 5, ("en", "mouse"): 3}), weighing=True)
+    two = s.Scorer(s.Model({("en", "house"): 5, ("en", "mouse"): 3, ("de", "haus"): 5}), weighing=True)
+    for text in ("house", "mouse blouse", "zzz"):
+        assert abs(one.weigh(text)[2] - one.weigh(f"{text} " * 500)[2]) < 1e-5
+        assert two.weigh(text)[2] == pytest.approx(one.weigh(text)[2], abs=0.1)
+    assert one.weigh("house")[2] > 0.9 and one.weigh("дом")[2] < 0 and s.Scorer(one.model).weigh("дом")[2] is None
