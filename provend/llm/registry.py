@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provend.llm import (arrow_tokens, language_id, license_scan, mixing, packing, quality, revisits, secret_scan,
-                         simhash, topk)
+from provend.llm import (arrow_tokens, hard_negatives, language_id, license_scan, mixing, packing, quality, revisits,
+                         secret_scan, simhash, topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,8 +26,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.query,
         "op9_language_id": language_id.query,
         "op10_revisit_resolution": revisits.query,
+        "op11_hard_negatives": hard_negatives.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": topk.SQL, "op8_quality_rules": quality.SQL, "op10_revisit_resolution": revisits.SQL}
+    return {"op1_topk_search": topk.SQL, "op8_quality_rules": quality.SQL, "op10_revisit_resolution": revisits.SQL,
+            "op11_hard_negatives": hard_negatives.SQL}
