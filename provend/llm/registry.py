@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provend.llm import (arrow_tokens, hard_negatives, language_id, license_scan, mixing, packing, quality, revisits,
-                         secret_scan, simhash, topk)
+from provend.llm import (arrow_tokens, chat, collocations, hard_negatives, language_id, license_scan, mixing, packing, quality,
+                         revisits, secret_scan, simhash, topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,9 +27,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": language_id.query,
         "op10_revisit_resolution": revisits.query,
         "op11_hard_negatives": hard_negatives.query,
+        "op12_chat_format": chat.query,
+        "op13_collocations": collocations.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_topk_search": topk.SQL, "op8_quality_rules": quality.SQL, "op10_revisit_resolution": revisits.SQL,
-            "op11_hard_negatives": hard_negatives.SQL}
+            "op11_hard_negatives": hard_negatives.SQL, "op12_chat_format": chat.SQL,
+            "op13_collocations": collocations.SQL}
