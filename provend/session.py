@@ -86,6 +86,16 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let at most ``size`` of rows go to a Python worker at once, where the session does not say otherwise.
+
+    Spark's default lets 64 MB go at once, of which the JVM and the worker both hold copies for every task.
+    """
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "64"
+    if spark.conf.get(name).lower().rstrip("b").removesuffix("m") in (default, str(64 << 20)):
+        spark.conf.set(name, size)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition rows by ``keys`` into ``spark.sql.shuffle.partitions`` parts ahead of a CPU-heavy
     ``mapInPandas`` stage (rows are whole groups, e.g. one series per row).
