@@ -37,7 +37,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provend.session import stage_table
+from provend.llm.rolling import mixed, spans
+from provend.session import bound_batches, stage_table
 
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 SPACES = b" \t"
@@ -45,9 +46,9 @@ MIN_COUNT = 10
 MAX_WORDS = 3
 TOP = 2000
 CONTAINED_PERCENT = 50
-SLICE_BYTES = 1 << 21  # bytes hashed at once
-SLICE_WORDS = 1 << 20  # words whose n-grams are counted at once
-BATCH_BYTES = 1 << 23
+SLICE_BYTES = 1 << 18  # bytes hashed at once
+SLICE_WORDS = 1 << 19  # words whose n-grams are counted at once
+BATCH_BYTES = 1 << 22
 MAP_BITS = 26  # of the bitmap: 8 MB
 OFFSET_BITS = 31  # of a pointer; texts have less than 2 GB
 
@@ -62,34 +63,6 @@ BASES = ((0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xC2B2AE3D27D4EB4F, 0xAF251A
 COUNTED = "fp long, n long, low long, high long, ptr long"
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i for i < n, modulo 2^64; kept by the worker for its next slices."""
-    held = _POWERS.get(base)
-    if held is None or len(held[0]) < n:
-        factors = np.array([[base], [pow(base, -1, 1 << 64)]], dtype=np.uint64).repeat(n, axis=1)
-        factors[:, 0] = 1
-        held = _POWERS[base] = tuple(np.cumprod(factors, axis=1))
-    return held[0][:n], held[1][:n]
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def spans(digits: np.ndarray, base: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Polynomial of the digits of each span, by one prefix sum; equal spans have equal values wherever they are."""
-    up, down = powers(base, len(digits) + 1)
-    sums = np.zeros(len(digits) + 1, dtype=np.uint64)
-    np.cumsum(digits * up[:len(digits)], out=sums[1:])
-    return (sums[stop] - sums[start]) * down[start]
-
-
 class Words:
     """Words of a buffer: byte offsets, numbers of their pieces and both fingerprints."""
 
@@ -230,6 +203,7 @@ class Miner:
             "text", "lang", F.xxhash64("lang").alias("salt"),
             F.shiftrightunsigned(F.xxhash64("lang", "text"), OFFSET_BITS).alias("key"))
         self.spark, self.min_count, self.max_words = docs.sparkSession, min_count, max_words
+        bound_batches(self.spark)
         self.bits, self.sizes = bits, (slice_bytes, slice_words)
 
     def _counted(self, n: int, known: np.ndarray | None) -> DataFrame:

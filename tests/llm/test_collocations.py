@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from conftest import SF
-from provend.llm.collocations import BASES, Miner, powers, slices, words_of
+from provend.llm.collocations import BASES, Miner, slices, words_of
+from provend.llm.rolling import powers
 
 SCHEMA = "doc_id long, text string, lang string, fp long, key long, words string, n long, a int"
 
