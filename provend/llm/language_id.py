@@ -5,257 +5,296 @@ it is scored by its character n-grams, the longest length of which any is known
 (from ``LONGEST`` down to 1). The language with the highest sum wins; the score is
 its share under equal priors.
 
-Word counts are Spark aggregates over a sample of labelled documents, bounded for
-each language by ``fit_docs``; vocabularies are bounded by ``max_words`` a language,
-so the model that goes to the tasks does not grow with the corpus. Every document
-is predicted, on its whole text.
+Word counts are Spark aggregates over a sample of labelled documents. The sample is bounded
+for each language by ``fit_docs`` documents and ``fit_chars`` characters; all of its words and
+n-grams are learned. The model is a few sorted arrays of 64-bit hashes with one row of
+numbers each, so a worker needs some tens of megabytes for it. Every document is predicted,
+on its whole text: a batch becomes one array of code points, words and n-grams are hashed by
+prefix polynomials, and each distinct word is looked up once.
 
 The score compares learned languages with each other only. Whether a text is of its
 language at all is told by ``evidence``: the mean log frequency of its 3-grams, one for
 each letter, on a scale with 0 for 3-grams drawn evenly from the language's letters and
-1 for the language itself. It depends neither on the length nor on the number of
-languages. ``identified`` keeps texts above half of the lowest percent of the language's
-fit documents; these are weighed by a model learned from the other fit documents.
+1 for text of the language. The 1 is found by leaving each 3-gram out once, so it holds for
+new text, however little was learned. ``identified`` rejects a text if its evidence lies
+below ``LEAST`` by more than chance explains: the deviation allowed shrinks with the root of the
+number of letters, so a short text stays unless its letters speak clearly against it. A text
+most of whose letters no learned text of the language has is rejected at any length.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is
 every text if nothing was learned; ties go to the language first in order; labels
 are never read when predicting; documents without id are not learned from and not
-held out; repeated rows are predicted each; other columns are not read.
+held out; repeated rows are predicted each; very long texts are read whole; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter, defaultdict
+import functools
+import sys
+import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provend.llm.worker_memory import keep_one
+from provend.llm.rolling import mixed, spans
+from provend.llm.worker_memory import drop_all
+from provend.session import bound_batches
 
-LETTERS = regex.compile(r"\p{L}+")
 LONGEST = 4
 FIT_DOCS = 4000  # labelled documents learned from, for each language
-MAX_WORDS = 30_000  # words kept for each language
-MAX_SEEN = 200_000  # words outside the vocabulary that a task remembers
+FIT_CHARS = 8_000_000  # and their characters
 UNKNOWN = "und"
 EVIDENCE = 3  # length of the n-grams that tell text of a language from other letters
-SLICE_WORDS = 4096  # words whose n-grams are looked up at once
-BOUND_PART = 4  # one of so many fit documents is weighed for the bound, not learned from
-BOUND_QUANTILE, BOUND_SHARE = 0.01, 0.5
+LEAST, DEVIATIONS = 0.4, 4.0  # evidence of new text, at least, and how many deviations below it are chance
+FOREIGN = 0.5  # share of letters foreign to the language beyond which it is not told
+BATCH_CHARS = 1 << 20  # characters scored at once (a longer text by itself)
+SPACE = 32
+BASE = 0x9E3779B97F4A7C15
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Is a code point a letter?"""
+    return np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(sys.maxunicode + 1)), dtype=bool,
+                       count=sys.maxunicode + 1)
+
+
+def code_points(text: str) -> np.ndarray:
+    """The lower-cased text's code points, everything but letters as a space."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where(_letters()[points], points, np.uint32(SPACE))
+
+
+def hashed(points: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return mixed(spans(points.astype(np.uint64) + np.uint64(1), BASE, start, stop))
+
+
+def in_line(points: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """These words one after the other, with one space between them and at both ends."""
+    sizes = stop - start + 1
+    ends = np.cumsum(sizes) + 1
+    out = np.full(int(ends[-1]) if len(ends) else 1, SPACE, dtype=np.uint32)
+    within = np.arange(len(out) - 1) - np.repeat(ends - 1 - sizes, sizes)
+    inside = within < np.repeat(sizes - 1, sizes)
+    out[1:][inside] = points[(np.repeat(start, sizes) + within)[inside]]
+    return out
+
+
+def grams(line: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, hash) of the n-grams of the words ``in_line``, with the spaces at a word's ends as
+    its marks; single letters without marks."""
+    n = len(line) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    space = line == SPACE
+    spaces = np.concatenate([np.zeros(1, np.int32), np.cumsum(space, dtype=np.int32)])
+    at = np.arange(n, dtype=np.int32)
+    if size == 1:
+        at = at[~space[at]]
+    else:  # no space inside
+        at = at[spaces[at + size - 1] == spaces[at + 1]]
+        if size == 2:  # two marks are no n-gram
+            at = at[~(space[at] & space[at + 1])]
+    return spaces[at + 1] - 1, hashed(line, at, at + size)
+
+
+class Table:
+    """Sorted hashes; ``find`` gives each hash's row, or the number of rows if it is not there."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, hashes)
+        there = self.keys[np.minimum(at, len(self.keys) - 1)] == hashes if len(self.keys) else np.zeros(len(at), bool)
+        return np.where(there, at, len(self.keys))
+
+
+def _summed(hashes: np.ndarray, of: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, and the sums of the rows of counts that they are ``of``."""
+    keys, which = np.unique(hashes, return_inverse=True)
+    sums = np.zeros((len(keys), counts.shape[1]))
+    for i in range(counts.shape[1]):
+        sums[:, i] = np.bincount(which, counts[of, i], len(keys))
+    return keys, sums
+
+
+def _logs(counts: np.ndarray) -> np.ndarray:
+    """Log frequencies, smoothed by a half."""
+    return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts)))
+
+
 class Model:
-    """``langs`` in order; ``words`` and ``grams`` map to rows of ``logs`` (row x language)."""
+    """Learned from counts of (lang, word): ``langs`` in order, and by word and n-gram one number for each language."""
 
     def __init__(self, counts: dict[tuple[str, str], int]):
         self.langs = sorted({lang for lang, _ in counts})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        by_word: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
-        for (lang, word), n in counts.items():
-            by_word[word][at[lang]] += n
-        by_gram: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
-        for word, n in by_word.items():
-            for gram in (g for size in range(1, LONGEST + 1) for g in self._grams(word, size)):
-                by_gram[gram] += n
-        self.words, self.grams, logs = {}, {}, []
-        self._add(by_word, self.words, logs, lambda w: 0)
-        self._add(by_gram, self.grams, logs, len)
-        self.logs = np.array(logs, dtype=np.float32).reshape(len(logs), len(self.langs))
-        self.scale = Scale(self, by_word, by_gram)
-        self.name = uuid.uuid4().hex
+        column = {lang: i for i, lang in enumerate(self.langs)}
+        words = sorted({word for _, word in counts})
+        row = {word: i for i, word in enumerate(words)}
+        n = np.zeros((len(words), len(self.langs)))
+        for (lang, word), k in counts.items():
+            n[row[word], column[lang]] += k
+        line = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), dtype=np.uint32)
+        ends = np.flatnonzero(line == SPACE)
+        keys, by_word = _summed(hashed(line, ends[:len(words)] + 1, ends[1:len(words) + 1]), np.arange(len(words)), n)
+        self.words, self.word_logs = Table(keys), _logs(by_word).astype(np.float32)
+        self.grams, self.gram_logs = {}, {}
+        for size in range(1, LONGEST + 1):
+            of, hashes = grams(line, size)
+            keys, by_gram = _summed(hashes, of, n)
+            self.grams[size], self.gram_logs[size] = Table(keys), _logs(by_gram).astype(np.float32)
+            if size == 1:
+                # letters that a language has; the last row is a letter that none has
+                self.native = np.vstack([by_gram > 0, np.zeros((1, len(self.langs)), bool)]).astype(np.float32)
+            if size == EVIDENCE:
+                self.scale, self.deviation = self._scaled(by_gram, self.native.sum(axis=0) + 1)  # and the mark
 
     @staticmethod
-    def _grams(word: str, size: int) -> list[str]:
-        """n-grams of the word with its ends marked; single characters without marks."""
-        text = word if size == 1 else f"^{word}$"
-        return [text[i:i + size] for i in range(len(text) - size + 1)]
-
-    @staticmethod
-    def _add(table: dict[str, np.ndarray], index: dict[str, int], logs: list, kind) -> None:
-        """Log frequencies among entries of the same kind, smoothed by a half."""
-        totals: dict[int, np.ndarray] = defaultdict(float)
-        sizes: Counter = Counter()
-        for key, n in table.items():
-            totals[kind(key)] = totals[kind(key)] + n
-            sizes[kind(key)] += 1
-        for key, n in table.items():
-            index[key] = len(logs)
-            logs.append(np.log((n + 0.5) / (totals[kind(key)] + 0.5 * sizes[kind(key)])))
-
-    def gram_rows(self, word: str) -> list[int]:
-        """Rows of the word's n-grams of the longest length of which any is known."""
-        known = self.grams
+    def _scaled(n: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the evidence by 3-gram, the last for one never seen, and its deviation by language.
+
+        A language whose own text is not above even draws has no scale: its rows are 1, without deviation.
+        """
+        total = n.sum(axis=0)
+        floor = np.log(0.5 / (total + 0.5 * len(n)))
+        logs = np.log((n + 0.5) / (total + 0.5 * len(n)))
+        even = floor + (logs - floor).sum(axis=0) / np.maximum(letters, 1) ** EVIDENCE
+        without = np.log(np.maximum(n - 0.5, 0.5) / (total + 0.5 * len(n)))  # each 3-gram left out once
+        typical = (n * without).sum(axis=0) / np.maximum(total, 1)
+        known = typical > even
+        unit = np.where(known, typical - even, 1.0)
+        spread = np.sqrt((n * ((without - typical) / unit) ** 2).sum(axis=0) / np.maximum(total, 1))
+        rows = np.where(known, (np.vstack([logs, floor]) - even) / unit, 1.0)
+        return rows.astype(np.float32), np.where(known, spread, 0.0)
+
+    def backed_off(self, line: np.ndarray, n: int) -> np.ndarray:
+        """Mean log frequency of each of the n words' n-grams, of the longest length of which any is known, else zeros."""
+        out = np.zeros((n, len(self.langs)))
+        open_ = np.ones(n, dtype=bool)
         for size in range(LONGEST, 0, -1):
-            rows = [known[g] for g in self._grams(word, size) if g in known]
-            if rows:
-                return rows
-        return []
-
-    def backed_off(self, words: list[str]) -> np.ndarray:
-        """Mean log frequency of each word's n-grams; zeros for a word of which none is known."""
-        rows = [self.gram_rows(w) for w in words]
-        sizes = np.array([len(r) for r in rows])
-        out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
-        some = np.flatnonzero(sizes)
-        if len(some):
-            flat = np.fromiter((i for r in rows for i in r), dtype=np.int64, count=int(sizes.sum()))
-            starts = np.cumsum(sizes[some]) - sizes[some]
-            out[some] = np.add.reduceat(self.logs[flat], starts, axis=0) / sizes[some, None]
+            of, hashes = grams(line, size)
+            of, hashes = of[open_[of]], hashes[open_[of]]
+            at = self.grams[size].find(hashes)
+            found = at < len(self.grams[size].keys)
+            of, at = of[found], at[found]
+            known = np.bincount(of, minlength=n)
+            for i in range(len(self.langs)):
+                out[:, i] += np.bincount(of, self.gram_logs[size][at, i], n) / np.maximum(known, 1)
+            open_ &= known == 0
         return out
 
-
-class Scale:
-    """Log frequencies of 3-grams by language, 0 for their mean over even draws of letters, 1 for that over the language."""
-
-    def __init__(self, model: Model, by_word: dict[str, np.ndarray], by_gram: dict[str, np.ndarray]):
-        self.langs = model.langs
-        grams = [g for g in model.grams if len(g) == EVIDENCE]
-        n = np.array([by_gram[g] for g in grams]).reshape(len(grams), len(self.langs))
-        logs = model.logs[[model.grams[g] for g in grams]]
-        alphabets = [{c for w, of in by_word.items() if of[i] for c in w} for i in range(len(self.langs))]
-        cells = np.array([(len(a) + 2) ** EVIDENCE for a in alphabets])  # letters and the marks of both ends
-        unseen = np.log(0.5 / (n.sum(axis=0) + 0.5 * len(grams)))
-        even = unseen + (logs - unseen).sum(axis=0) / cells
-        typical = (n * logs).sum(axis=0) / n.sum(axis=0)
-        self.grams = {g: i for i, g in enumerate(grams)}
-        self.rows = ((np.vstack([logs, unseen]) - even) / (typical - even)).astype(np.float32)  # the last: never seen
-
-    def sums(self, words: list[str]) -> np.ndarray:
-        """Each word's sum over its 3-grams, one for each letter; words are taken in slices to bound the memory."""
-        out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
-        for at in range(0, len(words), SLICE_WORDS):
-            part, last = words[at:at + SLICE_WORDS], len(self.grams)
-            rows = [self.grams.get(g, last) for w in part for g in Model._grams(w, EVIDENCE)]
-            sizes = np.array([len(w) for w in part])
-            out[at:at + len(part)] = np.add.reduceat(self.rows[rows], np.cumsum(sizes) - sizes, axis=0)
+    def weigh(self, texts: list[str | None], weighing: bool = True) -> Verdicts:
+        """Language, score, evidence, letters and foreign letters of each text."""
+        sizes, parts = [], []
+        for t in texts:
+            parts.append(code_points(t) if t else np.zeros(0, np.uint32))
+            sizes.append(len(parts[-1]) + 1)
+            parts.append(np.array([SPACE], np.uint32))
+        points = np.concatenate([np.array([SPACE], np.uint32), *parts])
+        edges = np.flatnonzero(np.diff(points != SPACE))
+        start, stop = edges[0::2] + 1, edges[1::2] + 1
+        text = np.searchsorted(np.cumsum(sizes) + 1, start, side="right")
+        keys, first, which = np.unique(hashed(points, start, stop), return_index=True, return_inverse=True)
+        n, langs = len(texts), len(self.langs)
+        out = Verdicts(n, np.bincount(text, stop - start, n))
+        if not langs or not len(keys):
+            return out
+        at = self.words.find(keys)
+        new = np.flatnonzero(at == len(self.words.keys))
+        rows = np.zeros((len(keys), langs))
+        known = at < len(self.words.keys)
+        rows[known] = self.word_logs[at[known]]
+        rows[new] = self.backed_off(in_line(points, start[first[new]], stop[first[new]]), len(new))
+        sums = np.stack([np.bincount(text, rows[which, i], n) for i in range(langs)], axis=1)
+        best = sums.argmax(axis=1)
+        some = out.letters > 0
+        out.lang = [self.langs[b] if s else UNKNOWN for b, s in zip(best, some)]
+        with np.errstate(over="ignore", under="ignore"):
+            out.score = np.where(some, 1.0 / np.exp(sums - sums[np.arange(n), best][:, None]).sum(axis=1), 0.0)
+        if weighing:
+            line = in_line(points, start[first], stop[first])
+            mine = best[text]
+            for size, table, value in ((EVIDENCE, self.scale, "evidence"), (1, self.native, "native")):
+                of, hashes = grams(line, size)
+                found = self.grams[size].find(hashes)
+                by_word = np.stack([np.bincount(of, table[found, i], len(keys)) for i in range(langs)], axis=1)
+                total = np.bincount(text, by_word[which, mine], n) / np.maximum(out.letters, 1)
+                setattr(out, value, np.where(some, total, np.nan))
+            out.least = LEAST - DEVIATIONS * self.deviation[best] / np.sqrt(np.maximum(out.letters, 1))
         return out
 
-    def evidence(self, text: str | None, lang: str) -> float | None:
-        """Evidence that the text is of the language; null without a letter or if the language was not learned."""
-        words = Counter(LETTERS.findall(text.lower())) if text else None
-        if not words or lang not in self.langs:
-            return None
-        n = np.fromiter(words.values(), dtype=np.float64, count=len(words))
-        letters = sum(len(w) * k for w, k in words.items())
-        return float(n @ self.sums(list(words))[:, self.langs.index(lang)] / letters)
-
-
-class Scorer:
-    """A model with a bounded memory of words outside its vocabulary. Only with ``weighing`` it tells the evidence."""
-
-    def __init__(self, model: Model, max_seen: int = MAX_SEEN, weighing: bool = False):
-        self.model, self.max_seen, self.weighing = model, max_seen, weighing
-        self.known = self._with_evidence(list(model.words), model.logs[:len(model.words)])
-        self._reset()
-
-    def _with_evidence(self, words: list[str], logs: np.ndarray) -> np.ndarray:
-        return np.hstack([logs, self.model.scale.sums(words)]) if self.weighing else logs
-
-    def _reset(self) -> None:
-        self.index = dict(self.model.words)
-        self.rows = np.vstack([self.known, np.zeros((self.max_seen, self.known.shape[1]), dtype=np.float32)])
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        return self.weigh(text)[:2]
-
-    def weigh(self, text: str | None) -> tuple[str, float, float | None]:
-        """Language, score and evidence."""
-        words = Counter(LETTERS.findall(text.lower())) if text else None
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0, None
-        new = [w for w in words if w not in self.index]
-        if len(self.index) + len(new) > len(self.rows):
-            self._reset()
-            new = [w for w in words if w not in self.index]
-        if new:
-            found, fits = self._with_evidence(new, self.model.backed_off(new)), len(self.rows) - len(self.index)
-            at = len(self.index)
-            self.rows[at:at + min(fits, len(new))] = found[:fits]
-            self.index.update(zip(new[:fits], range(at, at + fits)))
-            extra = dict(zip(new[fits:], found[fits:]))  # a text with more new words than the memory holds
-        else:
-            extra = {}
-        known = [w for w in words if w not in extra] if extra else list(words)
-        n = np.fromiter((words[w] for w in known), dtype=np.float64, count=len(known))
-        total = n @ self.rows[[self.index[w] for w in known]]
-        for w, v in extra.items():
-            total = total + v * words[w]
-        total, shown = total[:len(self.model.langs)], total[len(self.model.langs):]
-        best = int(total.argmax())
-        score = float(1.0 / np.exp(total - total[best]).sum())
-        letters = sum(len(w) * k for w, k in words.items()) if self.weighing else 0
-        return self.model.langs[best], score, float(shown[best] / letters) if self.weighing else None
 
+class Verdicts:
+    """What was found out about each text of a batch."""
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        fit_docs: int = FIT_DOCS, max_words: int = MAX_WORDS) -> Model:
-    """Learn from labelled documents that are not held out: at most about ``fit_docs`` of each language,
-    chosen by a hash of the id."""
-    rows = fit_sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, fit_docs=fit_docs)
-    return Model({}) if rows is None else learned(rows, max_words)
+    def __init__(self, n: int, letters: np.ndarray):
+        self.lang, self.score, self.letters = [UNKNOWN] * n, np.zeros(n), letters
+        self.evidence, self.native, self.least = np.full(n, np.nan), np.full(n, np.nan), np.zeros(n)
+
+    def told(self) -> np.ndarray:
+        """Is the text of its language, as far as its letters tell?"""
+        return (self.letters > 0) & (self.evidence >= self.least) & (self.native >= 1.0 - FOREIGN)
 
 
-def fit_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, fit_docs: int) -> DataFrame | None:
-    """id, text and lang of the fit documents."""
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+        fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
+    """Learn from labelled documents that are not held out: at most about ``fit_docs`` and ``fit_chars`` of each
+    language, chosen by a hash of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    sizes = rows.groupBy("lang").count().collect()  # one row for each language
+    chars = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("double"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), chars.alias("chars")).collect()  # one row for each language
     if not sizes:
-        return None
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, fit_docs / r["count"]))))
+        return Model({})
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (
+        r["lang"], min(1.0, fit_docs / r["n"], fit_chars / max(1.0, r["chars"])))))
     chance = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 20)) / float(1 << 20)
-    return rows.where(chance < share[F.col("lang")])
-
-
-def learned(rows: DataFrame, max_words: int) -> Model:
-    words = (rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
-             .groupBy("lang", "word").count())
-    top = Window.partitionBy("lang").orderBy(F.col("count").desc(), "word")
-    kept = words.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_words)
-    return Model({(r["lang"], r["word"]): r["count"] for r in kept.collect()})  # bounded by max_words a language
+    words = (rows.where(chance < share[F.col("lang")])
+             .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
+             .groupBy("lang", "word").count().toArrow())  # the words of a bounded sample
+    return Model(dict(zip(zip(words["lang"].to_pylist(), words["word"].to_pylist()), words["count"].to_pylist())))
 
 
 def predicted(spark, model: Model, text: Column, weighing: bool = False) -> Column:
-    """Column struct<lang, score, evidence> of a text column; evidence is null if not ``weighing``."""
+    """Column struct<lang, score, told> of a text column; ``told`` is null if not ``weighing``."""
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang:string,score:double,evidence:double>")
+    @F.arrow_udf("struct<lang:string,score:double,told:boolean>")
     def guess(texts: pa.Array) -> pa.Array:
-        model = sent.value
-        # its memory serves later tasks too
-        scorer = keep_one((model.name, weighing), lambda: Scorer(model, weighing=weighing))
-        out = [scorer.weigh(t.as_py()) for t in texts]
-        return pa.StructArray.from_arrays([pa.array([x for x, _, _ in out], pa.string()),
-                                           pa.array([s for _, s, _ in out], pa.float64()),
-                                           pa.array([e for _, _, e in out], pa.float64())],
-                                          ["lang", "score", "evidence"])
+        drop_all()  # what another operator's tasks left in this worker
+        langs, scores, told = [], [], []
+        for some in _small(texts):
+            found = sent.value.weigh(some, weighing)
+            langs += found.lang
+            scores.append(found.score)
+            told += found.told().tolist() if weighing else [None] * len(some)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, []])),
+                                           pa.array(told, pa.bool_())], ["lang", "score", "told"])
     return guess(text)
 
 
-def least_evidence(rows: DataFrame, model: Model, max_words: int) -> dict[str, float]:
-    """By language of the model: the bound of the evidence, from its fit documents ``rows``.
-
-    A language without a weighed document gets the lowest bound of the others.
-    """
-    weighed = F.pmod(F.xxhash64(F.lit("bound"), "id"), F.lit(BOUND_PART)) == 0
-    sent = rows.sparkSession.sparkContext.broadcast(learned(rows.where(~weighed), max_words).scale)
-
-    @F.arrow_udf("double")
-    def evidence(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        return pa.array([sent.value.evidence(t.as_py(), x.as_py()) for t, x in zip(texts, langs)], pa.float64())
-    told = (rows.where(weighed).select("lang", evidence("text", "lang").alias("evidence"))
-            .where(F.col("evidence").isNotNull()).groupBy("lang")
-            .agg(F.percentile_approx("evidence", BOUND_QUANTILE, 10_000).alias("low")))
-    low = {r["lang"]: max(0.0, BOUND_SHARE * r["low"]) for r in told.collect()}  # one row for each language
-    return {lang: low.get(lang, min(low.values(), default=0.0)) for lang in model.langs}
+def _small(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in lists of at most ``BATCH_CHARS`` characters, a longer text by itself."""
+    held, chars = [], 0
+    for t in texts:
+        t = t.as_py()
+        if held and chars + len(t or "") > BATCH_CHARS:
+            yield held
+            held, chars = [], 0
+        held.append(t)
+        chars += len(t or "")
+    if held:
+        yield held
 
 
 def identify(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_id", text_col: str = "text",
@@ -268,19 +307,15 @@ def identify(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_
                        F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
 
-def identified(docs: DataFrame, *, text_col: str = "text", min_score: float = 0.2) -> DataFrame:
-    """The documents whose language is told with at least ``min_score`` and whose text shows evidence of that language,
-    all columns as they were."""
-    fitted = fit_sample(docs, id_col="doc_id", text_col=text_col, lang_col="lang", fit_docs=FIT_DOCS)
-    model = Model({}) if fitted is None else learned(fitted, MAX_WORDS)
+def identified(docs: DataFrame, model: Model | None = None, *, text_col: str = "text") -> DataFrame:
+    """The documents whose language is told, all columns as they were."""
+    model = model or fit(docs, text_col=text_col)
     if not model.langs:
         return docs.limit(0)
-    least = least_evidence(fitted, model, MAX_WORDS)
-    bound = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))
-    rows = docs.select(F.struct("*").alias("row"),
-                       predicted(docs.sparkSession, model, F.col(text_col), weighing=True).alias("guess"))
-    return rows.where((F.col("guess.lang") != UNKNOWN) & (F.col("guess.score") >= min_score)
-                      & (F.col("guess.evidence") > bound[F.col("guess.lang")])).select("row.*")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # free of clashes with the column added
+    text = F.col(names[docs.columns.index(text_col)])
+    rows = docs.toDF(*names).withColumn("told", predicted(docs.sparkSession, model, text, weighing=True)["told"])
+    return rows.where("told").drop("told").toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

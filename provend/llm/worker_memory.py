@@ -13,3 +13,8 @@ def keep_one(key: Hashable, make: Callable[[], object]):
         _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def drop_all() -> None:
+    """For operators that keep nothing: give back what others left."""
+    _HELD.clear()
