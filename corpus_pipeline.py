@@ -4,8 +4,12 @@ Each stage takes all that its predecessor kept. All but the last return the colu
 ``documents``. Every stage's result is written as Parquet and read again, so a lost executor
 costs at most the stage at hand.
 
-Null, empty and repeated rows go through as each operator defines; an empty table passes
-all stages as an empty table.
+Executors pass from stage to stage with the heap they have grown, so the stages that read
+texts in Python let little go to a worker at once.
+
+Null, empty and repeated rows, ties and very long texts go through as each operator defines;
+an empty table passes all stages as an empty table; columns beyond those of ``documents``
+are kept as they are, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -14,21 +18,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provend.llm import language_id, mixing, packing, secret_scan, simhash
-from provend.session import stage_table
+from provend.session import bound_batches, stage_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter or with an unclear language go."""
+    """Documents whose language can be told; those without a letter or with letters that speak against it go."""
+    bound_batches(spark)
     return language_id.identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id."""
+    bound_batches(spark)
     return simhash.deduplicated(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their secrets replaced; n_chars follows the new text."""
+    bound_batches(spark)
     clean = docs.withColumn("text", secret_scan.redacted(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -47,6 +54,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Executors come to this stage with the heap of four others, so the encoder gets less memory than by default.
     """
+    bound_batches(spark)
     return packing.pack(docs, keep_ids=True, slice_chars=1 << 20, max_entries=100_000)
 
 
