@@ -11,6 +11,7 @@ NON_ITEM_UNIT = "-"
 FORMULA_PREFIXES = "^[=+@-]"
 DAY_FIRST_FORMATS = ("d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "d-MMM-yyyy", "d MMM yyyy", "d-M-yy", "d/M/yy", "yyyy-MM-dd",
                      "d-MMM-yy", "d MMM yy", "d-MMMM-yyyy", "d MMMM yyyy", "d-MMMM-yy", "d MMMM yy")
+CENTURY_PIVOT = 69  # two-digit years from here on lie in the last century
 TIME_OF_DAY = r"[ T]+[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?\s*$"
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 MACHINE_EPS = 2.220446049250313e-16
@@ -28,9 +29,13 @@ def parse_number(c: str | Column) -> Column:
 
 def parse_day_first_date(c: str | Column) -> Column:
     """Day-first date text -> DATE, trying an explicit ordered format list; a time of day is left out;
-    bad dates -> NULL."""
+    two-digit years lie between 1969 and 2068; bad dates -> NULL."""
     s = F.trim(F.regexp_replace(col(c).cast("string"), TIME_OF_DAY, ""))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DAY_FIRST_FORMATS]).cast("date")
+
+    def parsed(fmt: str) -> Column:
+        d = F.try_to_timestamp(s, F.lit(fmt)).cast("date")
+        return d if "yyyy" in fmt else F.when(F.year(d) < 2000 + CENTURY_PIVOT, d).otherwise(F.add_months(d, -1200))
+    return F.coalesce(*map(parsed, DAY_FIRST_FORMATS))
 
 
 def strip_text(c: str | Column) -> Column:

@@ -122,22 +122,27 @@ firsts AS (
   SELECT l_orderkey,
          CASE WHEN dirt = 3 THEN '31-04-2023' WHEN dirt = 6 THEN strftime(CAST(l_shipdate AS DATE), '%d/%m/%Y')
               WHEN dirt = 7 THEN strftime(CAST(l_shipdate AS DATE), '%d-%b-%Y')
+              WHEN dirt = 13 THEN strftime(CAST(l_shipdate AS DATE), '%d-%b-%y')
+              WHEN dirt = 14 THEN strftime(CAST(l_shipdate AS DATE), '%d/%m/%Y 00:00')
               ELSE strftime(CAST(l_shipdate AS DATE), '%d-%m-%Y') END AS vdate_text,
          CASE WHEN dirt = 3 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS vdate,
-         CASE WHEN dirt = 8 THEN '  ' || upper(s_name) ELSE s_name END AS vsupp_text,
-         lower(s_name) AS vsupp
+         CASE WHEN dirt = 8 THEN '  ' || upper(s_name) WHEN dirt = 12 THEN s_name || chr(10) || '(up)'
+              ELSE s_name END AS vsupp_text,
+         lower(CASE WHEN dirt = 12 THEN s_name || chr(10) || '(up)' ELSE s_name END) AS vsupp
   FROM vl WHERE is_first),
 vfill AS (
   SELECT vl.*, f.vdate_text, f.vdate, f.vsupp_text, f.vsupp,
          CASE WHEN dirt = 0 THEN '  Freight Charge ' WHEN dirt = 4 THEN chr(9) || upper(p_brand) || chr(160)
-              ELSE p_brand END AS item_text,
-         CASE WHEN dirt = 0 THEN 'freight charge' ELSE lower(p_brand) END AS item_norm
-  FROM vl JOIN firsts f ON vl.l_orderkey = f.l_orderkey),
+              ELSE p_brand || tail END AS item_text,
+         CASE WHEN dirt = 0 THEN 'freight charge' ELSE lower(p_brand || tail) END AS item_norm
+  FROM (SELECT *, CASE WHEN dirt = 9 THEN chr(10) || 'spare part' WHEN dirt = 10 THEN ', 5" pipe'
+                       WHEN dirt = 16 THEN chr(10) || '"' || chr(10) || '"x' ELSE '' END AS tail FROM vl) vl
+  JOIN firsts f ON vl.l_orderkey = f.l_orderkey),
 vkept AS (SELECT * FROM vfill WHERE dirt NOT IN (0, 1)),
 vclean AS (
   SELECT last_value(vdate IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY """ + VL_ORDER + """
                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS doc_date,
          vdate AS parsed_date, CAST(l_orderkey AS VARCHAR) AS voucher_no, vsupp AS supplier, item_norm AS item,
-         CASE WHEN dirt = 5 THEN NULL ELSE l_quantity END AS qty, l_extendedprice / l_quantity AS price,
-         CASE WHEN dirt = 2 THEN 1234.5 ELSE l_extendedprice END AS amount, l_returnflag AS unit
+         CASE WHEN dirt IN (5, 11) THEN NULL ELSE l_quantity END AS qty, l_extendedprice / l_quantity AS price,
+         CASE WHEN dirt = 2 THEN 1234.5 WHEN dirt = 15 THEN NULL ELSE l_extendedprice END AS amount, l_returnflag AS unit
   FROM vkept)"""

@@ -109,7 +109,10 @@ def voucher_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``dirt = (l_orderkey * 7 + qty) % 17`` picks the defect of a line:
     0 charge line item, 1 unit '-', 2 amount '1,234.50', 3 unparseable date
     (on a voucher's first line), 4 padded upper-case item, 5 quantity 'abc',
-    6 date as d/M/yyyy, 7 date as d-MMM-yyyy, 8 padded upper-case supplier.
+    6 date as d/M/yyyy, 7 date as d-MMM-yyyy, 8 padded upper-case supplier,
+    9 item with a line break, 10 item with a comma and quotes, 11 quantity 'N/A',
+    12 supplier with a line break, 13 date as d-MMM-yy, 14 date with a time,
+    15 amount 'n/a.', 16 item with two line breaks and quotes around one.
     Header fields are blank on all but the first line of a voucher.
     """
     from pyspark.sql import Window
@@ -121,19 +124,25 @@ def voucher_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)) == 1
     d = F.col("l_shipdate").cast("date")
     date_txt = (F.when(dirt == 3, F.lit("31-04-2023")).when(dirt == 6, F.date_format(d, "dd/MM/yyyy"))
-                .when(dirt == 7, F.date_format(d, "dd-MMM-yyyy")).otherwise(F.date_format(d, "dd-MM-yyyy")))
+                .when(dirt == 7, F.date_format(d, "dd-MMM-yyyy")).when(dirt == 13, F.date_format(d, "dd-MMM-yy"))
+                .when(dirt == 14, F.date_format(d, "dd/MM/yyyy 00:00")).otherwise(F.date_format(d, "dd-MM-yyyy")))
     item = (F.when(dirt == 0, F.lit("  Freight Charge "))
-            .when(dirt == 4, F.concat(F.lit("\t"), F.upper("p_brand"), F.lit(" "))).otherwise(F.col("p_brand")))
-    supplier = F.when(dirt == 8, F.concat(F.lit("  "), F.upper("s_name"))).otherwise(F.col("s_name"))
+            .when(dirt == 4, F.concat(F.lit("\t"), F.upper("p_brand"), F.lit("\u00a0")))
+            .when(dirt == 9, F.concat("p_brand", F.lit("\nspare part")))
+            .when(dirt == 10, F.concat("p_brand", F.lit(', 5" pipe')))
+            .when(dirt == 16, F.concat("p_brand", F.lit('\n"\n"x'))).otherwise(F.col("p_brand")))
+    supplier = (F.when(dirt == 8, F.concat(F.lit("  "), F.upper("s_name")))
+                .when(dirt == 12, F.concat("s_name", F.lit("\n(up)"))).otherwise(F.col("s_name")))
     return j.select(
         F.floor(F.col("l_orderkey") / ORDERS_PER_FILE).alias("file_id"), *LINE_ORDER,
         F.when(first, date_txt).alias("Date"),
         F.when(first, F.col("l_orderkey").cast("string")).alias("Vch/Bill No"),
         F.when(first, supplier).alias("Particulars"),
         item.alias("Item Details"),
-        F.when(dirt == 5, F.lit("abc")).otherwise(F.col("l_quantity").cast("string")).alias("Qty."),
+        F.when(dirt == 5, F.lit("abc")).when(dirt == 11, F.lit("N/A")).otherwise(
+            F.col("l_quantity").cast("string")).alias("Qty."),
         F.try_divide("l_extendedprice", "l_quantity").cast("string").alias("Price"),
-        F.when(dirt == 2, F.lit("1,234.50")).otherwise(F.format_number("l_extendedprice", 2)).alias("Amount"),
+        F.when(dirt == 2, F.lit("1,234.50")).when(dirt == 15, F.lit("n/a.")).otherwise(F.format_number("l_extendedprice", 2)).alias("Amount"),
         F.when(dirt == 1, F.lit("-")).otherwise(F.col("l_returnflag")).alias("Unit"),
     )
 
