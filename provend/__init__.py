@@ -8,3 +8,4 @@ forecasting, supplier risk tiers, outlier scoring and name similarity.
 from provend.config import Config
 
 __all__ = ["Config"]
+__version__ = "0.3"

@@ -10,7 +10,15 @@ import argparse
 import dataclasses
 import sys
 
+from pyspark.sql import SparkSession
+
 from provend.config import Config
+from provend.operators.boosting import training_counts
+from provend.plans import pipeline
+from provend.plans.staging import Staging
+from provend.session import get_spark, scratch_folder
+from provend.sinks.report import write_report
+from provend.sources.stock import read_closing_stock
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -21,7 +29,8 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--pov", required=True, help="purchase-order exports (file, directory or glob)")
         s.add_argument("--grn", required=True, help="goods-receipt exports")
         s.add_argument("--pv", required=True, help="purchase-invoice exports")
-        s.add_argument("--models", help="model table folder (read by run if present, written by train)")
+        s.add_argument("--models", help="model store (its current version is read by run, a new one written by train)")
+        s.add_argument("--resume", help="run folder: a run that was cut short goes on from the tables finished there")
         s.add_argument("--master", help="Spark master (default: from spark-submit / environment)")
     r = sub.choices["run"]
     r.add_argument("--out", help="report folder; omitted = compute and print the summary only")
@@ -40,37 +49,36 @@ def _parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
-    from provend.plans import pipeline
-    from provend.session import get_spark
-
     spark = get_spark(args.master)
-    paths = {"pov_path": args.pov, "grn_path": args.grn, "pv_path": args.pv}
-    if args.cmd == "train":
-        docs = pipeline.prepare(spark, paths=paths)
-        models = pipeline.train(docs, out_path=args.models)
-        from provend.operators.boosting import training_counts
-        training_counts(models).show(truncate=False)
-        return 0
+    with scratch_folder(spark):
+        staging = Staging(spark, args.resume)
+        (train if args.cmd == "train" else run)(spark, args, staging)
+        staging.finish()
+    return 0
+
+
+def _paths(args: argparse.Namespace) -> dict[str, str]:
+    return {"pov_path": args.pov, "grn_path": args.grn, "pv_path": args.pv}
 
+
+def train(spark: SparkSession, args: argparse.Namespace, staging: Staging) -> None:
+    docs = pipeline.prepare(spark, _paths(args), staging=staging)
+    training_counts(pipeline.train(docs, out_path=args.models)).show(truncate=False)
+
+
+def run(spark: SparkSession, args: argparse.Namespace, staging: Staging) -> None:
     cfg = dataclasses.replace(Config(), growth_rate=Config.growth_from_percent(args.growth_pct),
                               abc_threshold_a=args.abc_a, abc_threshold_b=args.abc_b, day_window=args.day_window,
                               closing_stock_freq=args.stock_freq, use_models=not args.no_models,
                               holt_winters_trend=args.hw_trend, holt_winters_seasonal=args.hw_seasonal)
-    docs = pipeline.prepare(spark, paths=paths, cfg=cfg)
-    stock = None
-    if args.stock:
-        from provend.sources.stock import read_closing_stock
-        stock = read_closing_stock(spark, args.stock, args.stock_freq)
-    models = None
-    if args.models and pipeline.path_exists(spark, args.models):
-        models = spark.read.parquet(args.models)
-    results = pipeline.run(spark, docs, cfg, stock=stock, models=models)
+    docs = pipeline.prepare(spark, _paths(args), cfg=cfg, staging=staging)
+    stock = read_closing_stock(spark, args.stock, args.stock_freq) if args.stock else None
+    models = pipeline.load_models(spark, args.models) if args.models else None
+    results = pipeline.run(spark, docs, cfg, stock=stock, models=models, staging=staging)
     if args.out:
-        from provend.sinks.report import write_report
         write_report(spark, results, args.out, args.format).show(truncate=False)
     else:
         results["summary"].show(truncate=False)
-    return 0
 
 
 if __name__ == "__main__":

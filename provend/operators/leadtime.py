@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from provend.operators.prefix import SortKey, running_totals
 from provend.session import materialize
+from provend.sources.store import DamagedVersion, Store
 
 FEATURES = ["item_encoded", "supplier_encoded", "order_qty", "month_of_year"]
 
@@ -56,15 +57,24 @@ class LeadTimeModel:
         return self.forest.transform(self.encode(rows))
 
     def save(self, path: str) -> None:
-        self.forest.write().overwrite().save(f"{path}/forest")
-        self.items.write.mode("overwrite").parquet(f"{path}/items")
-        self.suppliers.write.mode("overwrite").parquet(f"{path}/suppliers")
+        """A new version of the model store at ``path``."""
+        with Store(self.items.sparkSession, path).new_version() as version:
+            self.forest.write().save(version.add_folder("forest"))
+            version.add_table("items", self.items)
+            version.add_table("suppliers", self.suppliers)
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> LeadTimeModel:
+    def load(spark: SparkSession, path: str) -> LeadTimeModel | None:
+        """The model last saved at ``path``, None if there is none; raises ``DamagedVersion`` if it cannot be read."""
         from pyspark.ml import PipelineModel
-        return LeadTimeModel(PipelineModel.load(f"{path}/forest"), spark.read.parquet(f"{path}/items"),
-                             spark.read.parquet(f"{path}/suppliers"))
+        version = Store(spark, path).current()
+        if version is None:
+            return None
+        try:
+            forest = PipelineModel.load(version.folder("forest"))
+        except Exception as problem:
+            raise DamagedVersion(f"{version.folder('forest')} cannot be read") from problem
+        return LeadTimeModel(forest, version.table("items"), version.table("suppliers"))
 
 
 def train_lead_time_model(links: DataFrame, stats: DataFrame, min_rows: int = 30, train_fraction: float = 0.8,
@@ -110,11 +120,9 @@ def train_lead_time_model(links: DataFrame, stats: DataFrame, min_rows: int = 30
 
 
 def load_or_train(links: DataFrame, stats: DataFrame, model_path: str, **kw):
-    """Reuse a saved model when it loads, otherwise train (and save if kept)."""
-    try:
-        return None, LeadTimeModel.load(links.sparkSession, model_path)
-    except Exception:  # noqa: BLE001 - any load failure means: train a new one
-        return train_lead_time_model(links, stats, model_path=model_path, **kw)
+    """Reuse the saved model; train (and save if kept) where none was ever saved. A damaged one raises."""
+    model = LeadTimeModel.load(links.sparkSession, model_path)
+    return (None, model) if model else train_lead_time_model(links, stats, model_path=model_path, **kw)
 
 
 def predict_lead_time(rows: DataFrame, stats: DataFrame, model=None) -> DataFrame:

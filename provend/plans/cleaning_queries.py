@@ -47,6 +47,23 @@ def q_load_grn(spark, d):
     return vs.read_vouchers(spark, voucher_fixture(spark, d, "grn"), kind="grn")
 
 
+@query("load_metrics", O.with_(O.VOUCHERS) + """
+SELECT document, COUNT(*) AS lines, COUNT(*) FILTER (WHERE is_first AND dirt = 3) AS unparsed_dates,
+       COUNT(*) FILTER (WHERE dirt = 5 OR (dirt = 15 AND document <> 'GRN')) AS unparsed_numbers,
+       COUNT(*) FILTER (WHERE dirt IN (0, 1)) AS dropped_rows, CAST(0 AS BIGINT) AS missing_suppliers,
+       CAST(0 AS BIGINT) AS missing_items
+FROM vfill, (SELECT unnest(['POV', 'GRN', 'PV']) AS document) GROUP BY document""")
+def q_load_metrics(spark, d):
+    """What the loads of the three kinds read, dropped and did not understand (receipts have no amounts)."""
+    from provend.plans import pipeline
+    paths = {f"{kind}_path": voucher_fixture(spark, d, kind) for kind in ("pov", "grn", "pv")}
+    staging = pipeline.Staging(spark)
+    for kind in ("pov", "grn", "pv"):
+        pipeline.load(staging, kind, paths[f"{kind}_path"])
+    rows = [(name.removeprefix("clean-").upper(), *(n[m] for m in vs.METRICS)) for name, n in staging.notes.items()]
+    return spark.createDataFrame(rows, "document string, " + ", ".join(f"{m} long" for m in vs.METRICS))
+
+
 @query("forward_fill", O.with_(O.VOUCHERS) + """
 SELECT vdate_text AS doc_date, CAST(l_orderkey AS VARCHAR) AS voucher_no, vsupp_text AS supplier, item_text AS item
 FROM vfill""")

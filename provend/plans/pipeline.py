@@ -9,76 +9,104 @@ executor recomputes from the staged table, not from the raw exports.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from provend import files
 from provend.config import Config
 from provend.operators import aggregates as agg
 from provend.operators import boosting, linking, outliers, ranking, risk, similarity, smoothing
 from provend.operators import forecast as fc
 from provend.operators import series as ser
-from provend.session import materialize, stage_table
+from provend.plans.staging import Staging
+from provend.session import materialize
 from provend.sources import stock as st
 from provend.sources import vouchers as vs
+from provend.sources.store import Store
 
+MODELS = "models"  # the table's name in its store
 REQUIRED_INPUTS = ("pov_path", "grn_path", "pv_path")
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """True when ``path`` (file, directory or glob) matches something on its file system."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    matches = fs.globStatus(hpath)
-    return matches is not None and len(matches) > 0
+LOAD_REPORT = "document string, " + ", ".join(f"{m} long" for m in vs.METRICS) + ", seconds double"
 
 
 def prepare(spark: SparkSession, paths: dict[str, str] | None = None, docs: dict[str, DataFrame] | None = None,
-            cfg: Config = Config()) -> dict[str, DataFrame]:
-    """Load and clean the three document kinds (or take given DataFrames); add branch-duplicate flags."""
+            cfg: Config = Config(), staging: Staging | None = None) -> dict[str, DataFrame]:
+    """Load and clean the three document kinds (or take given DataFrames); add branch-duplicate flags and,
+    for loaded exports, a report of what was read, dropped and not understood."""
+    staging = staging or Staging(spark)
+    clean, report = {}, []
     if docs is None:
         paths = paths or {}
         for key in REQUIRED_INPUTS:
-            if not paths.get(key) or not path_exists(spark, paths[key]):
+            if not paths.get(key) or not files.exists(spark, paths[key]):
                 raise FileNotFoundError(f"{key}: nothing found at {paths.get(key)!r}")
-        docs = {kind: vs.read_vouchers(spark, paths[f"{kind}_path"], kind, cfg.null_keys)
-                for kind in ("pov", "grn", "pv")}
-    # the cleaned documents feed every result: staged once as Parquet in the shared folder
-    clean = {k: stage_table(v, f"clean-{k}") for k, v in docs.items()}
+        for kind in ("pov", "grn", "pv"):
+            clean[kind] = load(staging, kind, paths[f"{kind}_path"], cfg)
+            report.append((kind.upper(), *staging.notes[f"clean-{kind}"].values()))
+        clean["load_report"] = spark.createDataFrame(report, LOAD_REPORT)
+    else:
+        # the cleaned documents feed every result: staged once as Parquet in the shared folder
+        clean = {k: staging.table(f"clean-{k}", lambda v=v: v, "given", uuid.uuid4().hex) for k, v in docs.items()}
     dups = [similarity.branch_duplicates(clean[k], "supplier", cfg.similarity_threshold)
             .withColumn("document", F.lit(k.upper())) for k in ("pv", "pov", "grn")]
     clean["duplicates"] = dups[0].unionByName(dups[1]).unionByName(dups[2])
     return clean
 
 
+def load(staging: Staging, kind: str, path: str, cfg: Config = Config()) -> DataFrame:
+    """One kind of document, cleaned and staged; its load metrics and seconds are the table's note."""
+    seen, start = Observation(), time.monotonic()
+
+    def note() -> dict:
+        return {**{m: seen.get[m] for m in vs.METRICS}, "seconds": round(time.monotonic() - start, 3)}
+    return staging.table(f"clean-{kind}", lambda: vs.read_vouchers(staging.spark, path, kind, cfg.null_keys, metrics=seen),
+                         staging.of_files(path), cfg.null_keys, note=note)
+
+
 def train(docs: dict[str, DataFrame], cfg: Config = Config(), out_path: str | None = None) -> DataFrame:
-    """Boosted-tree model table for every (item, supplier) of the invoices; written as Parquet if a path is given."""
+    """Boosted-tree model table for every (item, supplier) of the invoices; a new version of the store at
+    ``out_path`` if that is given. If the training fails, the store's current version stays."""
     models = boosting.train_models(ser.sparse_series(docs["pv"]), cfg.min_months, cfg.train_fraction)
     if out_path:
-        models.write.mode("overwrite").parquet(out_path)
-        return docs["pv"].sparkSession.read.parquet(out_path)
+        store = Store(docs["pv"].sparkSession, out_path)
+        with store.new_version(settings=repr(cfg)) as version:
+            version.add_table(MODELS, models)
+        return store.current().table(MODELS)
     return materialize(models)
 
 
+def load_models(spark: SparkSession, path: str) -> DataFrame | None:
+    """The model table last published at ``path``; None if there is none. Raises if it is damaged."""
+    version = Store(spark, path).current()
+    return version and version.table(MODELS)
+
+
 def run(spark: SparkSession, docs: dict[str, DataFrame], cfg: Config = Config(), stock: DataFrame | None = None,
-        models: DataFrame | None = None) -> dict[str, DataFrame]:
+        models: DataFrame | None = None, staging: Staging | None = None) -> dict[str, DataFrame]:
     """All analyses. ``models`` is the table of a ``train`` run; without it no row gets a boosted forecast."""
+    staging = staging or Staging(spark)
     pov, grn, pv = docs["pov"], docs["grn"], docs["pv"]
-    links = stage_table(linking.link_orders(pov, grn, cfg.day_window, cfg.max_qty_ratio), "links")
+    links = staging.table("links", lambda: linking.link_orders(pov, grn, cfg.day_window, cfg.max_qty_ratio),
+                          "clean-pov", "clean-grn", cfg.day_window, cfg.max_qty_ratio)
     lead = agg.lead_time_stats(links, cfg.low_sample_observations)
     exceptions = linking.exceptions(pov, grn)
     anomalies = outliers.detect(pv, seed=cfg.seed)
 
     demand = agg.demand_aggregate(pv, cfg.null_keys)
-    classified = materialize(ranking.abc_classify(demand, cfg.abc_threshold_a, cfg.abc_threshold_b))
+    classified = staging.table("classified", lambda: ranking.abc_classify(demand, cfg.abc_threshold_a, cfg.abc_threshold_b),
+                               "clean-pv", cfg)
     if stock is not None:
         base = fc.stock_adjusted_forecast(classified, st.latest_stock(stock), cfg.growth_rate)
     else:
         base = fc.simple_forecast(classified, cfg.growth_rate)
     base = materialize(base)
     if cfg.use_models:
-        fits = materialize(smoothing.fit_pairs(ser.dense_series(pv), cfg.seasonal_periods, cfg.hw_mape_mode,
-                                               cfg.holt_winters_trend, cfg.holt_winters_seasonal))
+        fits = staging.table("fits", lambda: smoothing.fit_pairs(
+            ser.dense_series(pv), cfg.seasonal_periods, cfg.hw_mape_mode, cfg.holt_winters_trend,
+            cfg.holt_winters_seasonal), "clean-pv", cfg)
         boosted = fc.without_models(base) if models is None else boosting.boosted_forecast(base, models, cfg.growth_rate)
         forecast = fc.ensemble_forecast(base, boosted,
                                         smoothing.holt_winters_forecast(base, fits, cfg.growth_rate))
@@ -103,5 +131,5 @@ def run(spark: SparkSession, docs: dict[str, DataFrame], cfg: Config = Config(),
         "raw_grn": grn,
         "raw_pov": pov,
         "raw_pv": pv,
-        **({"duplicates": docs["duplicates"]} if "duplicates" in docs else {}),
+        **{k: docs[k] for k in ("duplicates", "load_report") if k in docs},
     }

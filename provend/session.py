@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +59,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """All that is staged or checkpointed inside the block goes to one folder, deleted at its end.
+
+    Results made in the block read from it, so they must be written before it ends.
+    """
+    from provend import files
+    sc, base = spark.sparkContext, ensure_checkpoint_dir(spark)
+    folder = os.path.join(base, f"run-{uuid.uuid4().hex[:12]}")
+    sc.setCheckpointDir(folder)
+    try:
+        yield folder
+    finally:
+        sc.setCheckpointDir(base)
+        files.delete(spark, folder)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
