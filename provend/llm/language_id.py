@@ -46,7 +46,8 @@ from provend.session import bound_batches
 
 LONGEST = 4
 FIT_DOCS = 4000  # labelled documents learned from, for each language
-FIT_CHARS = 8_000_000  # and their characters
+FIT_CHARS = 6_000_000  # and their characters
+FIT_WORDS = 50_000  # distinct words hashed at once when learning
 UNKNOWN = "und"
 EVIDENCE = 3  # length of the n-grams that tell text of a language from other letters
 LEAST, DEVIATIONS = 0.4, 4.0  # evidence of new text, at least, and how many deviations below it are chance
@@ -120,7 +121,8 @@ class Table:
 
 def _summed(hashes: np.ndarray, of: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes, sorted, and the sums of the rows of counts that they are ``of``."""
-    keys, which = np.unique(hashes, return_inverse=True)
+    keys = np.unique(hashes)
+    which = np.searchsorted(keys, hashes).astype(np.int32)
     sums = np.zeros((len(keys), counts.shape[1]))
     for i in range(counts.shape[1]):
         sums[:, i] = np.bincount(which, counts[of, i], len(keys))
@@ -133,23 +135,35 @@ def _logs(counts: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Learned from counts of (lang, word): ``langs`` in order, and by word and n-gram one number for each language."""
-
-    def __init__(self, counts: dict[tuple[str, str], int]):
-        self.langs = sorted({lang for lang, _ in counts})
-        column = {lang: i for i, lang in enumerate(self.langs)}
-        words = sorted({word for _, word in counts})
-        row = {word: i for i, word in enumerate(words)}
-        n = np.zeros((len(words), len(self.langs)))
-        for (lang, word), k in counts.items():
-            n[row[word], column[lang]] += k
-        line = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), dtype=np.uint32)
-        ends = np.flatnonzero(line == SPACE)
-        keys, by_word = _summed(hashed(line, ends[:len(words)] + 1, ends[1:len(words) + 1]), np.arange(len(words)), n)
+    """Learned from a table of (lang, word, count): ``langs`` in order, and by word and n-gram one number for each language."""
+
+    def __init__(self, counts: pa.Table):
+        langs, words = (counts[c].combine_chunks().dictionary_encode() for c in ("lang", "word"))
+        names = langs.dictionary.to_pylist()
+        self.langs = sorted(names)
+        column = np.array([self.langs.index(x) for x in names], dtype=np.int64)
+        n = np.zeros((len(words.dictionary), len(names)))
+        np.add.at(n, (words.indices.to_numpy(), column[langs.indices.to_numpy()]), counts["count"].to_numpy())
+        words = words.dictionary
+
+        def lines() -> Iterator[tuple[int, np.ndarray]]:
+            for at in range(0, len(words), FIT_WORDS):
+                some = " ".join(words.slice(at, FIT_WORDS).to_pylist())
+                yield at, np.frombuffer(f" {some} ".encode("utf-32-le"), dtype=np.uint32)
+
+        ends = [(line, np.flatnonzero(line == SPACE)) for _, line in lines()]
+        keys, by_word = _summed(np.concatenate([np.zeros(0, np.uint64), *(hashed(x, e[:-1] + 1, e[1:]) for x, e in ends)]),
+                                np.arange(len(words)), n)
+        del ends
         self.words, self.word_logs = Table(keys), _logs(by_word).astype(np.float32)
         self.grams, self.gram_logs = {}, {}
         for size in range(1, LONGEST + 1):
-            of, hashes = grams(line, size)
+            found = [(np.zeros(0, np.int32), np.zeros(0, np.uint64))]
+            for at, line in lines():
+                word, hashes = grams(line, size)
+                found.append((word + np.int32(at), hashes))
+            of, hashes = (np.concatenate(x) for x in zip(*found))
+            del found
             keys, by_gram = _summed(hashes, of, n)
             self.grams[size], self.gram_logs[size] = Table(keys), _logs(by_gram).astype(np.float32)
             if size == 1:
@@ -158,6 +172,12 @@ class Model:
             if size == EVIDENCE:
                 self.scale, self.deviation = self._scaled(by_gram, self.native.sum(axis=0) + 1)  # and the mark
 
+    @classmethod
+    def of(cls, counts: dict[tuple[str, str], int]) -> Model:
+        return cls(pa.table({"lang": pa.array([x for x, _ in counts], pa.string()),
+                             "word": pa.array([w for _, w in counts], pa.string()),
+                             "count": pa.array(list(counts.values()), pa.int64())}))
+
     @staticmethod
     def _scaled(n: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the evidence by 3-gram, the last for one never seen, and its deviation by language.
@@ -254,14 +274,13 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     chars = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("double"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), chars.alias("chars")).collect()  # one row for each language
     if not sizes:
-        return Model({})
+        return Model.of({})
     share = F.create_map(*(F.lit(x) for r in sizes for x in (
         r["lang"], min(1.0, fit_docs / r["n"], fit_chars / max(1.0, r["chars"])))))
     chance = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 20)) / float(1 << 20)
-    words = (rows.where(chance < share[F.col("lang")])
-             .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
-             .groupBy("lang", "word").count().toArrow())  # the words of a bounded sample
-    return Model(dict(zip(zip(words["lang"].to_pylist(), words["word"].to_pylist()), words["count"].to_pylist())))
+    return Model(rows.where(chance < share[F.col("lang")])
+                 .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
+                 .groupBy("lang", "word").count().toArrow())  # the words of a bounded sample
 
 
 def predicted(spark, model: Model, text: Column, weighing: bool = False) -> Column:

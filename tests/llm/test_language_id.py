@@ -78,7 +78,7 @@ class Plain:
 
 def test_matches_the_model_in_plain_python(some_docs):
     counts = Counter((lang, w) for d, t, lang, _ in some_docs if d % 3 for w in regex.findall(r"\p{L}+", (t or "").lower()))
-    model, plain = s.Model(counts), Plain(counts)
+    model, plain = s.Model.of(counts), Plain(counts)
     texts = [t for _, t, _, _ in some_docs] + [None, "", "1 2", "x", "Ω", "qqqq zzzz", "ÉTÉ été", "house Haus дом", "a b c"]
     got = model.weigh(texts)
     for i, text in enumerate(texts):
@@ -95,7 +95,7 @@ def test_matches_the_model_in_plain_python(some_docs):
 
 
 def test_words_first_then_shorter_grams():
-    model = s.Model({("en", "house"): 5, ("en", "mouse"): 3, ("de", "haus"): 5, ("de", "maus"): 3})
+    model = s.Model.of({("en", "house"): 5, ("en", "mouse"): 3, ("de", "haus"): 5, ("de", "maus"): 3})
     said = lambda text: model.weigh([text]).lang[0]
     assert said("House") == "en" and said("Haus, Maus") == "de"
     assert said("blouse") == "en"  # unseen: by its 4-grams
@@ -110,7 +110,7 @@ def test_words_first_then_shorter_grams():
 
 @pytest.mark.parametrize("text", [None, "", " \n", "123 ... ½ ² !?"])
 def test_no_letter_is_und(text):
-    got = s.Model({("en", "a"): 1}).weigh([text])
+    got = s.Model.of({("en", "a"): 1}).weigh([text])
     assert (got.lang[0], got.score[0], got.told()[0]) == ("und", 0.0, False)
 
 
@@ -149,7 +149,7 @@ def test_letters_of_no_learned_language_go(spark):
 
 def test_evidence_is_free_of_length_and_languages():
     counts = Counter(("en", w) for w in ("house", "mouse", "horse", "nurse", "house", "use", "hose") * 3)
-    one, two = s.Model(counts), s.Model({**counts, ("de", "haus"): 5})
+    one, two = s.Model.of(counts), s.Model.of({**counts, ("de", "haus"): 5})
     for text in ("house", "mouse blouse", "zzz"):
         assert abs(one.weigh([text]).evidence[0] - one.weigh([f"{text} " * 500]).evidence[0]) < 1e-5
         assert two.weigh([text]).evidence[0] == pytest.approx(one.weigh([text]).evidence[0], abs=0.1)
@@ -169,7 +169,7 @@ def test_the_bound_depends_on_letters_not_on_the_corpus(spark):
 
 
 def test_languages_without_enough_text_keep_theirs(spark):
-    model = s.Model({("en", "x"): 1})
+    model = s.Model.of({("en", "x"): 1})
     assert model.weigh(["x", "x x x"]).told().all()
     rows = [(i, "one line of text", "en") for i in range(6)] + [(10, None, "en"), (11, "", "fr"), (12, "один", "ru")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
