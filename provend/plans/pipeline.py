@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -50,12 +51,22 @@ def prepare(spark: SparkSession, paths: dict[str, str] | None = None, docs: dict
     else:
         # the cleaned documents feed every result: staged once as Parquet in the shared folder
         clean = {k: staging.table(f"clean-{k}", lambda v=v: v, "given", uuid.uuid4().hex) for k, v in docs.items()}
-    dups = [similarity.branch_duplicates(clean[k], "supplier", cfg.similarity_threshold)
-            .withColumn("document", F.lit(k.upper())) for k in ("pv", "pov", "grn")]
-    clean["duplicates"] = dups[0].unionByName(dups[1]).unionByName(dups[2])
+    clean.update(duplicates(clean, cfg))
     return clean
 
 
+def duplicates(docs: dict[str, DataFrame], cfg: Config = Config()) -> dict[str, DataFrame]:
+    """Branch duplicates among each document's suppliers: links between names (one for each spelling that reads
+    differently), and the other spellings of these names. Both grow with the names, not with their pairs."""
+    links, spellings = [], []
+    for kind in ("pv", "pov", "grn"):
+        found = similarity.branch_classes(docs[kind], "supplier", cfg.similarity_threshold)
+        of = [F.lit(kind.upper()).alias("document"), F.lit("supplier").alias("column")]
+        links.append(found.links.select(*of, F.col("c1").alias("e1"), F.col("c2").alias("e2"), "score"))
+        spellings.append(found.members.where("id <> cls").select(*of, F.col("id").alias("spelling"), F.col("cls").alias("name")))
+    return {"duplicates": reduce(DataFrame.unionByName, links), "duplicate_spellings": reduce(DataFrame.unionByName, spellings)}
+
+
 def load(staging: Staging, kind: str, path: str, cfg: Config = Config()) -> DataFrame:
     """One kind of document, cleaned and staged; its load metrics and seconds are the table's note."""
     seen, start = Observation(), time.monotonic()
@@ -131,5 +142,5 @@ def run(spark: SparkSession, docs: dict[str, DataFrame], cfg: Config = Config(),
         "raw_grn": grn,
         "raw_pov": pov,
         "raw_pv": pv,
-        **{k: docs[k] for k in ("duplicates", "load_report") if k in docs},
+        **{k: docs[k] for k in ("duplicates", "duplicate_spellings", "load_report") if k in docs},
     }

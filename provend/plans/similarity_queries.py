@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provend.functions.exprs import base_name
+from provend.operators import cells
 from provend.operators import similarity as sim
 from provend.plans.catalog import query, r6
 from provend.sources import testdata as td
@@ -76,5 +77,5 @@ SELECT e1, e2, ROUND(score, 6) AS score FROM s WHERE score >= 0.5""")
 def q_embedding_pairs(spark, d):
     emb = td.table(spark, d, "embeddings")
     sim.check_threshold(0.5)
-    out = sim.dense_similarity_pairs(emb, "vec_id", "embedding", 0.5)
+    out = cells.dense_similarity_pairs(emb, "vec_id", "embedding", 0.5)
     return out.withColumn("score", r6("score"))

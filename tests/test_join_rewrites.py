@@ -4,7 +4,7 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
-from provend.operators import linking, similarity
+from provend.operators import cells, linking
 
 SCHEMA = "doc_date date, voucher_no string, supplier string, item string, qty double, price double, " \
          "amount double, unit string"
@@ -35,7 +35,7 @@ def test_tiled_dense_join_equals_brute_force(spark):
     df = spark.createDataFrame([(f"v{i:03d}", [float(x) for x in X[i]], int(groups[i])) for i in range(len(X))],
                                "id string, vec array<double>, g int")
     got = {(r.g, r.e1, r.e2): r.score for r in
-           similarity.dense_similarity_pairs(df, "id", "vec", 0.6, group_col="g", block_rows=7).collect()}
+           cells.dense_similarity_pairs(df, "id", "vec", 0.6, group_col="g", block_rows=7).collect()}
     Xn = X / np.linalg.norm(X, axis=1, keepdims=True)
     exp = {}
     for i in range(len(X)):
