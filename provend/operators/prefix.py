@@ -63,6 +63,45 @@ def running_totals(df: DataFrame, keys: list[SortKey], value: str | None, *,
     return out.drop("_bkt", "_lcum", "_lpos", "_osum", "_ocnt", "_gtotal")
 
 
+def average_ranks(df: DataFrame, value: str, out: str, *, buckets: int | None = None) -> DataFrame:
+    """Adds the mean 1-based position of each row's run of equal values, divided by the number of rows.
+
+    Rows are range-partitioned on the value and a hash of the row, so a hot value is split over ranges. Each range
+    knows its own positions; a run of equal values can only cross a range's first or last value, and the
+    whole runs of these are carried to the ranges with their offsets (one row for each range). No
+    join on the value takes place. ``value`` must not be null.
+    """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    b = stage_table(hashed.repartitionByRange(buckets, value, "_tie").withColumn("_bkt", F.spark_partition_id()), "ranges")
+    local = b.withColumn("_first", F.rank().over(Window.partitionBy("_bkt").orderBy(value))).withColumn(
+        "_run", F.count(F.lit(1)).over(Window.partitionBy("_bkt", value)))
+    runs = b.groupBy("_bkt", value).agg(F.count(F.lit(1)).alias("n"))
+    per = runs.groupBy("_bkt").agg(F.sum("n").alias("n"), F.min(F.struct(value, "n")).alias("lo"),
+                                   F.max(F.struct(value, "n")).alias("hi"))
+    rows = per.orderBy("_bkt").collect()  # one for each range
+    total, at, border = sum(r["n"] for r in rows), {}, {}
+    before = 0
+    for r in rows:
+        at[r["_bkt"]] = before
+        for v, first, last in ((r["lo"][0], before + 1, before + r["lo"]["n"]),
+                               (r["hi"][0], before + r["n"] - r["hi"]["n"] + 1, before + r["n"])):
+            border[v] = min(first, border.get(v, (first, last))[0]), max(last, border.get(v, (first, last))[1])
+        before += r["n"]
+    carried = df.sparkSession.createDataFrame(
+        [(r["_bkt"], at[r["_bkt"]], sum(border[r["lo"][0]]), sum(border[r["hi"][0]])) for r in rows],
+        "_bkt int, _before long, _lo long, _hi long")
+    j = local.join(F.broadcast(carried), "_bkt")  # one row for each range
+    # first + last position of the run; a run that ends inside its range is known there
+    size = F.count(F.lit(1)).over(Window.partitionBy("_bkt"))
+    inner = 2 * F.col("_before") + 2 * F.col("_first") + F.col("_run") - 1
+    both = F.when(F.col("_first") == 1, F.col("_lo")).when(F.col("_first") + F.col("_run") - 1 == F.col("_size"),
+                                                            F.col("_hi")).otherwise(inner)
+    j = j.withColumn("_size", size)
+    return j.withColumn(out, both / 2 / F.lit(float(total or 1))).drop(
+        "_tie", "_bkt", "_first", "_run", "_before", "_lo", "_hi", "_size")
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float], **opts) -> dict[str, list[float | None]]:
     """The exact, linearly interpolated quantiles ``qs`` of each column; None for a column without values.
 

@@ -73,3 +73,20 @@ def test_exact_quantiles_of_several_columns(spark):
         assert np.allclose(got[c], np.quantile(values, qs), rtol=0, atol=1e-12)
     assert got["empty"] == [None] * 5
     assert exact_quantiles(df.where("b > 9"), ["a"], [0.5]) == {"a": [None]}
+
+
+def test_average_ranks_with_a_value_on_half_of_all_rows(spark):
+    from provend.operators.ranking import rank_pct
+    rng = np.random.default_rng(2)
+    values = [5.0] * 300 + [float(v) for v in rng.integers(0, 12, 200)] + [float(v) for v in rng.normal(size=100)] + [None] * 20
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double").repartition(5)
+    want = pd.Series(values, dtype=float).rank(pct=True)
+    for buckets in (1, 4, 40):
+        out = rank_pct(df, "v", "pct", buckets=buckets)
+        got = {r.id: r.pct for r in out.collect()}
+        assert len(got) == len(values)
+        assert all((got[i] is None) if v is None else abs(got[i] - want[i]) < 1e-12 for i, v in enumerate(values))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin [v" not in plan
+    assert rank_pct(df.where("v IS NULL"), "v", "pct").where("pct IS NULL").count() == 20
+    assert rank_pct(df.limit(0), "v", "pct").count() == 0
