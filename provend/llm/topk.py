@@ -15,11 +15,16 @@ that the bounds leave. Bounds start from a fixed-size sample that also supplies
 the pivots. Both directories are joined on the pivot; a pair of blocks is one
 row, scored by one matrix product in its task.
 
+The number of pivots grows with the root of the number of blocks, and that of a
+block's rows slowly with the table, so that the directory stays small beside it.
+
 Defined cases: vectors that are null, hold a null or a non-finite component, or
-have no id take no part; shorter vectors count as padded with zeros; of rows
-that share an id, the smallest vector counts; ties go to the smaller id; with
-fewer than k candidates all are returned; an empty table gives no rows. Vectors
-so long that products would pass 2^62 raise ValueError.
+have no id take no part; shorter vectors count as padded with zeros; fully equal
+rows (id, vector) count once; of rows that share an id but not the vector, each
+is compared with each, and the best score of two ids counts; ties go to the
+smaller id; with fewer than k candidates all are returned; an empty table gives no
+rows; other columns are not read, whatever their names. Vectors so long that
+products would pass 2^62 raise ValueError.
 """
 
 from __future__ import annotations
@@ -36,22 +41,22 @@ from pyspark.sql import functions as F
 from provend.session import stage_table
 
 SAMPLE_ROWS = 1024  # rows that supply pivots and first bounds; the index holds every row
-PIVOTS = 16
-BLOCK_ROWS = 1024
+PIVOTS = 16, 256  # fewest and most
+BLOCK_ROWS = 1024, 8192
+BLOCKS = 1 << 20  # beyond so many blocks they get more rows
 GROUP_ROWS = 512
 FIRST_BLOCKS = 4  # nearest annuli of a query group in the first wave
 SLACK = 1e-6  # relative allowance for rounding in distances
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """One row (id long, vec array<double>) for each id that takes part; components are floor(256 x)."""
+    """Distinct rows (id long, v array<double>) of those that take part; components are floor(256 x)."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return (df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
             .where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(~bad)
             # floor() gives a long; what is too large for one is left to the length check
             .select("id", F.transform("v", lambda x: F.when(F.abs(x) < 2.0 ** 40, F.floor(x * 256.0).cast("double"))
-                                      .otherwise(x * 256.0)).alias("v"))
-            .groupBy("id").agg(F.min("v").alias("v")))
+                                      .otherwise(x * 256.0)).alias("v")).distinct())
 
 
 def _matrix(vectors, dim: int) -> np.ndarray:
@@ -88,8 +93,17 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ c.astype(np.int64).T
 
 
+def _by_id(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores with one column for each id, the best of its rows; and the ids."""
+    distinct, which = np.unique(ids, return_inverse=True)
+    if len(distinct) == len(ids):
+        return scores, ids
+    order = np.argsort(which, kind="stable")
+    return np.maximum.reduceat(scores[:, order], np.flatnonzero(np.diff(which[order], prepend=-1)), axis=1), distinct
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int):
-    """(query row, candidate column) of each query's k best, ties to smaller ids, at or above its floor."""
+    """(query row, candidate column) of each query's k best, ties to smaller ids, at or above its floor; ids differ."""
     lowest = np.iinfo(np.int64).min
     scores = np.where(ids[None, :] == own[:, None], lowest, scores)
     bound = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k]) if scores.shape[1] > k else floor
@@ -105,19 +119,25 @@ class PivotIndex:
     """The index: ``blocks`` (block, pivot, lo, hi, ids, dist, vecs) staged in the shared folder."""
 
     def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *,
-                 pivots: int = PIVOTS, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS):
+                 pivots: int | None = None, sample_rows: int = SAMPLE_ROWS, block_rows: int | None = None):
         self.spark = vectors.sparkSession
         self.rows = stage_table(quantised(vectors, id_col, vec_col), "topk-vectors")
         norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-        dim, m2 = self.rows.agg(F.max(F.size("v")), F.max(norm2)).first()
+        dim, m2, n = self.rows.agg(F.max(F.size("v")), F.max(norm2), F.count("*")).first()
         self.empty = dim is None
         self.dim, self.m2 = int(dim or 0), float(m2 or 0.0)
         if self.m2 >= 2.0 ** 62:
             raise ValueError("inner products of these vectors do not fit 64 bits")
         if self.empty:
             return
-        # a sample of fixed size: the rows with the smallest hashes
-        sample = self.rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
+        block_rows = block_rows or min(max(BLOCK_ROWS[0], n // BLOCKS), BLOCK_ROWS[1])
+        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        pivots = pivots or min(max(PIVOTS[0], math.isqrt(n // block_rows)), PIVOTS[1])
+        # a sample of fixed size, one row of each id: the rows with the smallest hashes
+        first = {}
+        for r in self.rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample_rows).collect():
+            first.setdefault(r["id"], r)
+        sample = list(first.values())
         self.sample_ids = np.array([r["id"] for r in sample], dtype=np.int64)
         self.sample = _matrix([r["v"] for r in sample], self.dim)
         self.pivots = _spread_pivots(_lift(self.sample, self.m2), pivots)
@@ -150,9 +170,10 @@ class PivotIndex:
                         n += 1
                 yield pd.DataFrame(out, columns=["block", "pivot", "lo", "hi", "ids", "dist", "vecs"])
 
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         keyed = rows.mapInPandas(key, "id long, pivot int, dist double, vec binary")
-        return (keyed.repartitionByRange(parts, "pivot", "dist", "id").sortWithinPartitions("pivot", "dist", "id")
+        # equal vectors differ by their ids, rows of one id by their vectors
+        order = ["pivot", "dist", "id", "vec"]
+        return (keyed.repartitionByRange(self.parts, *order).sortWithinPartitions(*order)
                 .mapInPandas(pack, "block long, pivot int, lo double, hi double, ids array<long>, "
                                    "dist array<double>, vecs binary"))
 
@@ -187,7 +208,11 @@ class PivotIndex:
         slack = SLACK * (1.0 + 2.0 * math.sqrt(m2))
         rings = (groups.select("grp", reach.alias("reach"), F.posexplode(F.arrays_zip("near", "far")).alias("pivot", "d"))
                  .select("grp", "reach", "pivot", "d.near", "d.far"))
-        return (self.blocks.select("block", "pivot", "lo", "hi").join(rings, "pivot")
+        # a pivot's blocks are dealt into slices, so that no pivot is one key of the directory
+        slices = max(1, -(-self.parts // len(self.pivots)))
+        rings = rings.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+        blocks = self.blocks.select("block", "pivot", "lo", "hi", F.pmod(F.xxhash64("block"), F.lit(slices)).alias("slice"))
+        return (blocks.join(rings, ["pivot", "slice"])
                 .withColumn("bound", F.greatest(F.lit(0.0), F.col("near") - F.col("hi"), F.col("lo") - F.col("far")))
                 .where(F.col("bound") <= F.col("reach") + slack).select("grp", "block", "bound"))
 
@@ -210,8 +235,9 @@ class PivotIndex:
                     if a >= b:
                         continue
                     c = np.frombuffer(r.vecs, dtype="<i4").reshape(len(ids), dim)[a:b].astype(np.float64)
-                    rows, cols, s = _best(_products(q, c), ids[a:b], own, floor, k)
-                    yield pd.DataFrame({"query_id": own[rows], "vec_id": ids[a:b][cols], "score": s[rows, cols]})
+                    scores, near = _by_id(_products(q, c), ids[a:b])
+                    rows, cols, s = _best(scores, near, own, floor, k)
+                    yield pd.DataFrame({"query_id": own[rows], "vec_id": near[cols], "score": s[rows, cols]})
 
         return (pairs.select("grp", "block").join(groups.select("grp", "qids", "qvecs", "floors"), "grp")
                 .join(self.blocks, "block")
@@ -239,6 +265,7 @@ class PivotIndex:
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:
+    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # ids may repeat
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
@@ -257,8 +284,9 @@ WITH v AS (
   WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.c, c.c) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, max(CAST(list_inner_product(q.c, c.c) AS BIGINT)) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  GROUP BY q.vec_id, c.vec_id
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )

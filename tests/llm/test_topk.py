@@ -11,17 +11,20 @@ def frame(spark, rows):
 
 
 def brute(rows, is_query, k):
-    ok = {}
+    ok = set()
     for i, v in rows:
         if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
-        q = tuple(float(np.floor(256 * float(np.float32(x)))) for x in v)
-        ok[i] = min(ok[i], q) if i in ok else q
+        ok.add((i, tuple(float(np.floor(256 * float(np.float32(x)))) for x in v)))
     out = set()
-    for i, q in ok.items():
-        if is_query(i):
-            best = sorted((-int(sum(a * b for a, b in zip(q, c))), j) for j, c in ok.items() if j != i)[:k]
-            out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
+    for i in {i for i, _ in ok if is_query(i)}:
+        best = {}
+        for q in (v for j, v in ok if j == i):
+            for j, c in ok:
+                if j != i:
+                    best[j] = max(best.get(j, -2 ** 62), int(sum(a * b for a, b in zip(q, c))))
+        out |= {(i, r + 1, j, s) for r, (s, j) in enumerate((s, j) for s, j in sorted(
+            ((s, j) for j, s in best.items()), key=lambda x: (-x[0], x[1]))[:k])}
     return out
 
 
@@ -53,3 +56,22 @@ def test_large_components_stay_exact(spark):
     rows = [(i, [float(2 ** 20 + i), float(-i)]) for i in range(20)]
     got = PivotIndex(frame(spark, rows), block_rows=4).search(lambda i: i % 5 == 0, k=3)
     assert {tuple(r) for r in got.collect()} == brute(rows, lambda i: i % 5 == 0, 3)
+
+
+def test_rows_that_share_an_id_all_count(spark):
+    rows = [(1, [1.0, 0.0]), (1, [5.0, 5.0]), (50, [1.0, 1.0]), (2, [2.0, 2.0])]
+    got = {tuple(r) for r in PivotIndex(frame(spark, rows)).search(lambda i: i % 50 == 0, k=5).collect()}
+    assert got == {(50, 1, 1, 655_360), (50, 2, 2, 262_144)}
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 40)), [float(x) for x in rng.normal(size=4)]) for _ in range(500)]
+    rows += [(7, [float(x) for x in rng.normal(size=4) * 3]) for _ in range(250)] + rows[:30]  # a third under one id
+    for opts in ({}, {"pivots": 4, "block_rows": 16, "sample_rows": 64}):
+        got = PivotIndex(frame(spark, rows), **opts).search(lambda i: i % 10 == 0, k=5, group_rows=6, first_blocks=1)
+        assert {tuple(r) for r in got.collect()} == brute(rows, lambda i: i % 10 == 0, 5)
+
+
+def test_clashing_columns(spark):
+    rows = [(i, [float(i), 1.0], 3, 4.0, 5, 6) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, grp int, floors double, slice int, qids int")
+    got = PivotIndex(df, block_rows=4).search(lambda i: i % 5 == 0, k=3)
+    assert {tuple(r) for r in got.collect()} == brute([r[:2] for r in rows], lambda i: i % 5 == 0, 3)
