@@ -41,8 +41,8 @@ def _parser() -> argparse.ArgumentParser:
     r.add_argument("--abc-a", type=float, default=70.0)
     r.add_argument("--abc-b", type=float, default=90.0)
     r.add_argument("--day-window", type=int, default=14)
-    r.add_argument("--hw-trend", choices=["add", "mul"], default="add", help="kind of the smoothing model's trend")
-    r.add_argument("--hw-seasonal", choices=["add", "mul"], default="add", help="kind of its season")
+    r.add_argument("--hw-trend", choices=["add", "mul", "none"], default="add", help="kind of the smoothing model's trend")
+    r.add_argument("--hw-seasonal", choices=["add", "mul", "none"], default="add", help="kind of its season")
     r.add_argument("--no-models", action="store_true", help="base forecast only (no boosted / smoothing)")
     return p
 
@@ -61,6 +61,10 @@ def _paths(args: argparse.Namespace) -> dict[str, str]:
     return {"pov_path": args.pov, "grn_path": args.grn, "pv_path": args.pv}
 
 
+def _kind(name: str) -> str | None:
+    return None if name == "none" else name
+
+
 def train(spark: SparkSession, args: argparse.Namespace, staging: Staging) -> None:
     docs = pipeline.prepare(spark, _paths(args), staging=staging)
     training_counts(pipeline.train(docs, out_path=args.models)).show(truncate=False)
@@ -70,7 +74,7 @@ def run(spark: SparkSession, args: argparse.Namespace, staging: Staging) -> None
     cfg = dataclasses.replace(Config(), growth_rate=Config.growth_from_percent(args.growth_pct),
                               abc_threshold_a=args.abc_a, abc_threshold_b=args.abc_b, day_window=args.day_window,
                               closing_stock_freq=args.stock_freq, use_models=not args.no_models,
-                              holt_winters_trend=args.hw_trend, holt_winters_seasonal=args.hw_seasonal)
+                              holt_winters_trend=_kind(args.hw_trend), holt_winters_seasonal=_kind(args.hw_seasonal))
     docs = pipeline.prepare(spark, _paths(args), cfg=cfg, staging=staging)
     stock = read_closing_stock(spark, args.stock, args.stock_freq) if args.stock else None
     models = pipeline.load_models(spark, args.models) if args.models else None

@@ -9,7 +9,7 @@ from provend.operators import boosting, leadtime, outliers, smoothing
 from provend.operators import forecast as fc
 from provend.operators import series as ser
 from provend.plans import oracle as O
-from provend.plans.catalog import demand, links, pv, query
+from provend.plans.catalog import demand, links, pv, query, r6
 from provend.session import materialize
 from provend.sources import testdata as td
 
@@ -86,6 +86,36 @@ def q_holt_winters_forecast(spark, d):
                       "forecast_algorithm", "backtest_mape_pct")
 
 
+HW_WEIGHTS = (0.3, 0.1, 0.2)
+
+
+@query("hw_recursion", O.with_(O.PV, O.SERIES).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+head AS (
+  SELECT item, supplier, COUNT(*) AS n, AVG(qty) FILTER (WHERE time_idx < 12) AS c1,
+         AVG(qty) FILTER (WHERE time_idx BETWEEN 12 AND 23) AS c2,
+         list(qty ORDER BY time_idx) FILTER (WHERE time_idx < 12) AS q
+  FROM dense GROUP BY item, supplier HAVING COUNT(*) >= 24),
+start AS (
+  SELECT item, supplier, n, (c2 - c1) / 12 AS slope, c1 - (c2 - c1) / 12 * 6.5 AS level, q FROM head),
+rec AS (
+  SELECT item, supplier, n, CAST(0 AS BIGINT) AS t, level, slope, CAST(0.0 AS DOUBLE) AS sse,
+         list_transform(q, lambda x, i: x - (level + slope * i)) AS season FROM start
+  UNION ALL
+  SELECT item, supplier, n, t + 1, new, 0.1 * (new - level) + 0.9 * slope, sse + (y - base - s) * (y - base - s),
+         list_transform(season, lambda x, i: CASE WHEN i = t % 12 + 1 THEN 0.2 * (y - new) + 0.8 * s ELSE x END)
+  FROM (SELECT r.*, d.qty AS y, r.level + r.slope AS base, r.season[r.t % 12 + 1] AS s,
+               0.3 * (d.qty - r.season[r.t % 12 + 1]) + 0.7 * (r.level + r.slope) AS new
+        FROM rec r JOIN dense d ON d.item = r.item AND d.supplier = r.supplier AND d.time_idx = r.t) x)
+SELECT item, supplier, n AS n_months, ROUND(sse, 4) AS sse, ROUND(level + slope + season[n % 12 + 1], 6) AS p1,
+       ROUND(level + 2 * slope + season[(n + 1) % 12 + 1], 6) AS p2,
+       ROUND(level + 3 * slope + season[(n + 2) % 12 + 1], 6) AS p3
+FROM rec WHERE t = n""")
+def q_hw_recursion(spark, d):
+    """The smoothing recursion with given weights, from the start state of the first two cycles."""
+    out = smoothing.smooth_pairs(ser.dense_series(pv(spark, d)), HW_WEIGHTS)
+    return out.select("item", "supplier", "n_months", F.round("sse", 4).alias("sse"), *[r6(c).alias(c) for c in ("p1", "p2", "p3")])
+
+
 def ensemble(spark, d):
     base = materialize(base_forecast(spark, d))
     models = materialize(model_table(spark, d))
