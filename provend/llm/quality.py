@@ -4,8 +4,8 @@ Every line with a word is tried by three rules:
 
 * punctuation: symbols, or doubled ``!`` and ``?``, in too large a share of its words;
 * navigation: separators such as ``|`` between its words, or a short line that begins
-  with a navigation word and does not end as a sentence;
-* boilerplate: a short line with one of the fixed phrases of page furniture.
+  with a navigation word of one of four languages and does not end as a sentence;
+* boilerplate: a short line with one of the fixed phrases of page furniture in these languages.
 
 Failing lines are removed. A document that loses too large a share of its words, or
 fails the base rules (too few words, too many words in repeated five-word windows),
@@ -15,7 +15,8 @@ Repeated windows are found in the row: windows are hashed to 64 bits, and only t
 with equal hashes sort them to find the places.
 
 Defined cases: null and empty texts have no words and fail; null and repeated ids are
-rows of their own; other columns are not read.
+rows of their own; of equal lines all but the first are duplicates; very long texts are read
+whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,10 +38,40 @@ SHORT_LINE = 25
 MIN_KEPT_SHARE = 0.6
 
 DOUBLED = r"[!?]{2,}"
-NAVIGATION = r"(?i)^\W{0,3}(home|menu|login|log in|sign in|sign up|next|previous|back to top|read more|share|search|skip to content)\b[^.!?]{0,40}$"
-#: phrases of page furniture
-BOILERPLATE = (r"(?i)(all rights reserved|cookie policy|uses cookies|privacy policy|terms of (use|service)|"
-               r"enable javascript|subscribe to our newsletter|click here to|lorem ipsum|powered by)")
+#: First words of navigation lines, in four languages
+NAVIGATION_WORDS = (
+    "home", "menu", "login", "log in", "log out", "sign in", "sign up", "register", "my account", "next", "previous",
+    "next page", "previous page", "older posts", "newer posts", "back to top", "back to home", "read more", "show more",
+    "view all", "see all", "share", "search", "skip to content", "skip to main content", "sitemap", "site map", "contact us",
+    "about us", "add to cart", "checkout", "categories", "archives", "tags", "leave a comment", "comments",
+    "accueil", "connexion", "se connecter", "inscription", "suivant", "précédent", "page suivante", "page précédente",
+    "haut de page", "retour en haut", "lire la suite", "en savoir plus", "voir tout", "partager", "rechercher",
+    "aller au contenu", "plan du site", "nous contacter", "contactez-nous", "ajouter au panier",
+    "startseite", "anmelden", "abmelden", "registrieren", "weiter", "zurück", "nächste seite", "vorherige seite",
+    "nach oben", "weiterlesen", "mehr lesen", "mehr erfahren", "alle anzeigen", "teilen", "suche", "zum inhalt springen",
+    "zum inhalt", "kontakt", "über uns", "in den warenkorb", "inhaltsverzeichnis",
+    "inicio", "iniciar sesión", "cerrar sesión", "registrarse", "siguiente", "anterior", "página siguiente",
+    "página anterior", "volver arriba", "ir arriba", "leer más", "ver más", "ver todo", "compartir", "buscar",
+    "saltar al contenido", "ir al contenido", "mapa del sitio", "contacto", "quiénes somos", "añadir al carrito")
+#: Phrases of page furniture, in four languages
+BOILERPLATE_PHRASES = (
+    "all rights reserved", "cookie policy", "uses cookies", "use of cookies", "accept cookies", "accept all cookies",
+    "privacy policy", "terms of (?:use|service)", "terms and conditions", "enable javascript", "javascript is disabled",
+    "subscribe to our newsletter", "sign up for our newsletter", "click here to", "lorem ipsum", "powered by",
+    "follow us on", "share this (?:post|page|article)", "you must be logged in", "this site is protected by",
+    "your browser does not support", "page not found",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "utilise des cookies",
+    "accepter les cookies", "gestion des cookies", "conditions générales", "abonnez-vous à", "cliquez ici",
+    "activer javascript", "suivez-nous sur", "partager cet article", "propulsé par",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "allgemeine geschäftsbedingungen",
+    "verwendet cookies", "cookies akzeptieren", "newsletter abonnieren", "klicken sie hier", "aktivieren sie javascript",
+    "folgen sie uns", "diesen artikel teilen", "impressum",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "aviso legal", "utiliza cookies",
+    "aceptar cookies", "términos y condiciones", "condiciones de uso", "suscríbete a", "haga clic aquí", "haz clic aquí",
+    "active javascript", "síguenos en", "compartir este artículo")
+#: a short line that begins with one of the words, and does not go on as a sentence
+NAVIGATION = r"(?i)^[^\p{L}\p{N}]{0,3}(?:" + "|".join(sorted(NAVIGATION_WORDS, key=len, reverse=True)) + r")(?:[^\p{L}\p{N}.!?][^.!?]{0,39})?$"
+BOILERPLATE = r"(?i)(?:^|[^\p{L}])(?:" + "|".join(BOILERPLATE_PHRASES) + r")(?:[^\p{L}]|$)"
 
 
 def n_words(text: Column) -> Column:
@@ -86,14 +117,19 @@ def n_repeat_words(text: Column) -> Column:
     return _let(words, counted).cast("long")
 
 
+def _any_case(pattern: str) -> str:
+    """The pattern with letters beyond ASCII in either case, too; the SQL's patterns have that by themselves."""
+    return pattern.replace("(?i)", "(?iu)", 1)
+
+
 def line_ok(line: Column) -> Column:
     """Does a line pass the punctuation, navigation and boilerplate rules? Lines without words pass."""
     def by(words: Column) -> Column:
         punctuation = ((_count_of(line, SYMBOLS) < F.greatest(F.lit(2.0), words * SYMBOLS_PER_WORD))
                        & (F.regexp_count(line, F.lit(DOUBLED)) < F.greatest(F.lit(2.0), words * DOUBLED_PER_WORD)))
         navigation = (_count_of(line, SEPARATORS) < F.greatest(F.lit(2.0), words * SEPARATORS_PER_WORD)) & ~(
-            (words <= 6) & line.rlike(NAVIGATION))
-        boilerplate = ~((words <= SHORT_LINE) & line.rlike(BOILERPLATE))
+            (words <= 6) & line.rlike(_any_case(NAVIGATION)))
+        boilerplate = ~((words <= SHORT_LINE) & line.rlike(_any_case(BOILERPLATE)))
         return punctuation & navigation & boilerplate
     return _let(n_words(line), by)
 

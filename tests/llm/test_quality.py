@@ -49,6 +49,12 @@ CLEAN = "A plain sentence of ordinary words that ends as sentences do. "
     ("LOUD!! WORDS!! ALL!! OF!! THEM!! SHOUT!! AT!! THE!! READER!! WITHOUT!! END!!", False),
     (CLEAN + "Some more is said here so that furniture is the smaller share of it."
      "\nHome | About | Contact | Login | Help\nAll rights reserved.", True),
+    ("Accueil\nConnexion\nLire la suite\nPage suivante\nTous droits réservés 2024\nSuivez-nous sur ce site", False),
+    ("Startseite\nAnmelden\nNach oben\nWeiterlesen\nALLE RECHTE VORBEHALTEN\nImpressum\nÜBER UNS", False),
+    ("Inicio\nBuscar\nLeer más\nVolver arriba\nTodos los derechos reservados\nPolítica de cookies\nContacto", False),
+    ("Anterior to the second war, the town lay on the other bank of the river and had few houses.", True),
+    ("Weiter oben am Fluss stand einst ein kleines Haus, das heute keiner mehr kennt oder sucht.", True),
+    ("Contacto con la naturaleza era lo que buscaba, y lo encontró en un valle lejano y tranquilo.", True),
     ("5 < 6 and 7 > 3 are two of the things that clean documents may well say now and then.", True),
     ("Really?! Yes!! said one of them, and the other did not know what to answer to that.", True),
 ])
