@@ -93,16 +93,21 @@ def resolve(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame
                                       canonical_url(F.col("url")).alias("url_key"), at.alias("at")), "revisit-records")
     rows = (rows
             .withColumn("slice", F.floor(F.col("at") / (slice_seconds * 1_000_000)))
-            .withColumn("known", F.when(full & F.col("at").isNotNull() & F.col("url_key").isNotNull(),
-                                        F.struct("at", "record_id", "fields"))))
-    own = Window.partitionBy("url_key", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("latest", F.when(F.col("at").isNotNull(), F.max("known").over(own)))
-    slices = rows.where(F.col("url_key").isNotNull() & F.col("slice").isNotNull()).groupBy("url_key", "slice").agg(
-        F.max("known").alias("newest"))
+            .withColumn("known", F.when(full, F.struct("at", "record_id", "fields"))))
+    placed = F.col("at").isNotNull() & F.col("url_key").isNotNull()
+    # one row for each moment of a URL, so a slice has no more rows than moments however many records it has
+    moments = stage_table(rows.where(placed).groupBy("url_key", "slice", "at").agg(F.max("known").alias("known")),
+                          "revisit-moments")
+    own = Window.partitionBy("url_key", "slice").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    slices = moments.groupBy("url_key", "slice").agg(F.max("known").alias("newest"))
     earlier = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = slices.select("url_key", "slice", F.max("newest").over(earlier).alias("carried"))
-    joined = (inside.join(carried, ["url_key", "slice"], "left")
-              .withColumn("base", F.when(~F.coalesce(full, F.lit(False)), F.coalesce("latest", "carried"))))
+    latest = moments.withColumn("latest", F.max("known").over(own)).join(carried, ["url_key", "slice"]).select(
+        "url_key", "at", F.coalesce("latest", "carried").alias("before"))
+    # a record without URL or date has no earlier response and passes by
+    joined = rows.where(placed).join(latest, ["url_key", "at"]).unionByName(
+        rows.where(~placed), allowMissingColumns=True)
+    joined = joined.withColumn("base", F.when(~F.coalesce(full, F.lit(False)), F.col("before")))
 
     bare = lambda tag: F.regexp_replace(tag, "^[Ww]/", "")
     tag, old_tag = header(F.col("fields"), "etag"), header(F.col("base.fields"), "etag")
