@@ -134,8 +134,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, *
                 "n_tokens": files.n_tokens, "n_sequences": files.n_sequences, "sequence": sequence}])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    manifest = (rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-                .mapInArrow(put, MANIFEST))
+    # rows that share an id (or have none) go on by a hash of their text, so that one id is no one task
+    order = ["doc_id", "tie", "text"]
+    manifest = (rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, *order[:2])
+                .sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(put, MANIFEST))
     return stage_table(manifest, "token-manifest")
 
 
