@@ -19,8 +19,9 @@ rank cells. Every random choice is a hash of the seed, so reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in
 order; documents of size 0 are never drawn and have ``taken`` 0; null and repeated
-ids are rows of their own; an empty table gives no rows; other columns are not read
-(the stage form returns all of them).
+ids are rows of their own; blocks that tie in the hash are ordered by id, place and row; a very
+long text is many blocks; an empty table gives no rows; other columns are not read
+(the stage form returns all of them, whatever their names).
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ CAP = 2.0
 BLOCK_WORDS = 256
 BUCKET_BLOCKS = 4096  # blocks of a source in one hash bucket
 SHARD_BLOCKS = 131_072
+LEAST_SHARDS = 16  # for a mix of at least so many blocks
 CELL = 4096  # ranks in one join cell
 SEED = 20
 
@@ -189,7 +191,7 @@ class Mix:
         self.blocks = self._blocks(blocks, block_words, bucket_blocks)
         quotas = stage_table(self._quotas(), "mix-quotas")
         n = quotas.agg(F.sum("q")).first()[0] or 0
-        self.shards = max(1, -(-n // shard_blocks))
+        self.shards = max(1, -(-n // shard_blocks), min(n, LEAST_SHARDS))
         self.ranges = stage_table(split_tree(quotas, self.shards), "mix-ranges")
 
     def _blocks(self, blocks: Column, block_words: int | None, bucket_blocks: int) -> DataFrame:
