@@ -3,9 +3,10 @@
 A text is reduced to its words (A-Z lower-cased, single spaces). Keywords gate the
 rules: a text without any keyword is done after the reduction, and a rule is tried
 only around a place of its own keyword, on the words next to it with the keyword
-marked, so the expression is anchored there. Rules are the product of license
-names and signature templates, some hundreds of expressions, each with a priority
-(1 is best).
+marked, so the expression is anchored there. Rules are signatures of license bodies
+and notices, keyed on their rare words, and the product of license names and
+mention templates: some hundreds of expressions, each with a priority (1 is best) and
+each compiled once.
 
 Overlapping detections are resolved in order of place: a better priority replaces
 what it overlaps; at equal priority an interval inside another one is dropped and
@@ -13,7 +14,9 @@ others stay. The three base phrases are counted on their own and their labels ar
 never suppressed.
 
 Defined cases: null and empty texts have no words, no labels and score 0; null and
-repeated ids are rows of their own; other columns are not read.
+repeated ids are rows of their own; detections that tie in place and priority are ordered
+by label; very long texts are read whole; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-CONTEXT = 14  # words on either side of a keyword that rules can see
+CHUNK = 256  # detections kept in one list while sweeping
 
 #: The base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -88,11 +91,62 @@ TEMPLATES = (
     (1, "license", "under (?:the )?(?:terms of )?(?:the )?{pre} <license>{post}(?![^ ])"),
     (1, "licence", "under (?:the )?(?:terms of )?(?:the )?{pre} <licence>{post}(?![^ ])"),
     (1, "licensed", "<licensed> under (?:the )?(?:terms of )?(?:the )?{pre}(?: licen[cs]e)?{post}(?![^ ])"),
-    (1, "released", "<released> under (?:the )?(?:terms of )?(?:the )?{pre} licen[cs]e{post}(?![^ ])"),
-    (1, "distributed", "<distributed> under (?:the )?(?:terms of )?(?:the )?{pre} licen[cs]e{post}(?![^ ])"),
-    (2, "license", "(?<![^ ]){pre} <license>{post}(?![^ ])"),
+    (1, "released", "<released> under (?:the )?(?:terms of )?(?:the )?(?:{pre} licen[cs]e{post}|{id})(?![^ ])"),
+    (1, "distributed", "<distributed> under (?:the )?(?:terms of )?(?:the )?(?:{pre} licen[cs]e{post}|{id})(?![^ ])"),
+    (2, "license", "(?:(?<![^ ]){pre} <license>{post}|<license>(?: is)? {id})(?![^ ])"),
+    (2, "licence", "(?:(?<![^ ]){pre} <licence>{post}|<licence>(?: is)? {id})(?![^ ])"),
 )
 
+#: Signatures of license texts and notices (priority, keyword, expression, label)
+BODIES = (
+    (1, "hereby", "permission is <hereby> granted free of charge to any person obtaining a copy of this software", "mit"),
+    (1, "substantial", "shall be included in all copies or <substantial> portions of the software", "mit"),
+    (2, "warranty", "the software is provided as is without <warranty> of any kind express or implied", "mit"),
+    (1, "hereby", "permission is <hereby> granted free of charge to any person or organization obtaining a copy", "boost"),
+    (1, "hereby", "permission is <hereby> granted free of charge to any person obtaining a copy of the font software", "ofl"),
+    (1, "hereby", "for any purpose with or without fee is <hereby> granted provided that the above copyright notice", "isc"),
+    (1, "disclaims", "and the author <disclaims> all warranties with regard to this software", "isc"),
+    (1, "hereby", "without fee and without a written agreement is <hereby> granted", "postgresql"),
+    (1, "hereby", "psf <hereby> grants licensee a nonexclusive royalty free world ?wide license", "python"),
+    (1, "redistribution", "<redistribution> and use in source and binary forms with or without modification are permitted", "bsd"),
+    (1, "redistributions", "<redistributions> (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice", "bsd"),
+    (1, "endorse", "may be used to <endorse> or promote products derived from this software without specific prior", "bsd-3"),
+    (1, "advertising", "all <advertising> materials mentioning features or use of this software must display", "bsd-4"),
+    (1, "compliance", "you may not use this file except in <compliance> with the license", "apache-2"),
+    (1, "applicable", "unless required by <applicable> law or agreed to in writing software distributed under the license", "apache-2"),
+    (1, "contributor", "each <contributor> hereby grants to you a perpetual worldwide non exclusive", "apache-2"),
+    (1, "redistribute", "you can <redistribute> it and or modify it under the terms of the gnu general public license", "gpl"),
+    (1, "redistribute", "you can <redistribute> it and or modify it under the terms of the gnu (?:lesser|library) general public license", "lgpl"),
+    (1, "redistribute", "you can <redistribute> it and or modify it under the terms of the gnu affero general public license", "agpl"),
+    (1, "option", "either version 2 of the license or at your <option> any later version", "gpl-2"),
+    (1, "option", "either version 3 of the license or at your <option> any later version", "gpl-3"),
+    (1, "merchantability", "implied warranty of <merchantability> or fitness for a particular purpose see the gnu general public license", "gpl"),
+    (1, "verbatim", "everyone is permitted to copy and distribute <verbatim> copies of this license document", "gpl"),
+    (1, "copyleft", "free <copyleft> license for software", "gpl"),
+    (1, "misrepresented", "the origin of this software must not be <misrepresented>", "zlib"),
+    (1, "liable", "in no event will the authors be held <liable> for any damages arising from the use of this software", "zlib"),
+    (1, "unencumbered", "this is free and <unencumbered> software released into the public domain", "unlicense"),
+    (1, "fuck", "you just do what the <fuck> you want to", "wtfpl"),
+    (1, "mozilla", "is subject to the terms of the <mozilla> public license v 2 0", "mpl-2"),
+    (1, "accompanying", "this program and the <accompanying> materials are made available under the terms of the eclipse public license", "epl"),
+    (1, "dedicated", "has <dedicated> the work to the public domain by waiving all of his or her rights", "cc0"),
+    (1, "package", "the conditions under which a <package> may be copied such that the copyright holder", "artistic"),
+    (1, "beer", "this stuff is worth it you can buy me a <beer> in return", "beerware"),
+    (1, "openssl", "this product includes software developed by the <openssl> project", "openssl"),
+    (1, "evil", "the software shall be used for good not <evil>", "json"),
+    (2, "confidential", "<confidential> and proprietary", "proprietary"),
+    (2, "reproduced", "no part of this (?:book|document|publication|work) may be <reproduced>", "proprietary"),
+    (2, "unauthorized", "<unauthorized> (?:copying|reproduction|distribution|use) (?:of this \\w+ )?is (?:strictly )?prohibited", "proprietary"),
+)
+
+#: names that stand for their license by themselves after "under"
+SHORT = {
+    "mit": "mit", "apache-2": "apache (?:version |v)?2(?: 0)?", "bsd-2": "(?:2|two) clause bsd", "bsd-3": "(?:3|three) clause bsd",
+    "gpl-2": "(?:gnu )?gpl (?:version |v)?2(?: 0)?", "gpl-3": "(?:gnu )?gpl (?:version |v)?3(?: 0)?", "gpl": "(?:gnu )?gpl",
+    "lgpl-2.1": "(?:gnu )?lgpl (?:version |v)?2(?: [01])?", "lgpl-3": "(?:gnu )?lgpl (?:version |v)?3(?: 0)?", "lgpl": "(?:gnu )?lgpl",
+    "agpl-3": "(?:gnu )?agpl (?:version |v)?3(?: 0)?", "agpl": "(?:gnu )?agpl", "mpl-2": "mpl (?:version |v)?2(?: 0)?"}
+SHORT_TEMPLATE = "<{k}> under (?:the )?(?:terms of )?(?:the )?{name}(?![^ ])"
+
 #: rules of the Creative Commons family and others without the word "license"
 OTHERS = tuple(
     (p, k, rule.replace("{v}", "(?: [1-4] [05])?").replace("{n}", words), f"cc-by{suffix}")
@@ -114,9 +168,18 @@ def rules() -> list[tuple[int, str, str, str]]:
     """(priority, keyword, expression, label) of all rules."""
     out = [(p, k, t.format(pre=pre, post=post, id=ident), label)
            for label, (pre, post, ident) in NAMES.items() for p, k, t in TEMPLATES]
+    out += [(1, k, SHORT_TEMPLATE.format(k=k, name=name), label)
+            for label, name in SHORT.items() for k in ("released", "distributed", "available")]
+    out += [(p, k, f"(?<![^ ]){r}(?![^ ])", label) for p, k, r, label in BODIES]
     return out + [(p, k, r, label) for p, k, r, label in OTHERS]
 
 
+def context() -> int:
+    """Words on either side of a keyword that some rule can match: rules have no open repetitions, so it is at most
+    the number of spaces on that side of the keyword."""
+    return max(max(r.split(f"<{k}>")[0].count(" "), r.split(f"<{k}>")[1].count(" ")) for _, k, r, _ in rules())
+
+
 def _spaces(s: Column) -> Column:
     return (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
 
@@ -144,39 +207,54 @@ def detections(words: Column) -> Column:
 
     ``neg_end`` is minus the end (exclusive), so that longer ones come first at the same start.
     """
-    table = rules()
-    keywords = sorted({k for _, k, _, _ in table})
-    listed = F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(k).alias("keyword"), F.lit(r).alias("rule"),
-                                F.lit(x).alias("label")) for p, k, r, x in table))
-    nothing = F.array().cast("array<struct<start:int,neg_end:int,priority:int,label:string>>")
+    by_keyword: dict[str, list] = {}
+    for priority, keyword, rule, label in rules():
+        by_keyword.setdefault(keyword, []).append((priority, rule, label))
+    keywords, reach = sorted(by_keyword), context()
+    kind = "struct<start:int,neg_end:int,priority:int,label:string>"
+    nothing = F.array().cast(f"array<{kind}>")
 
     def around(w: Column, i: Column) -> Column:
         """The words next to word i (from 0) with it marked."""
-        left = F.slice(w, F.greatest(F.lit(1), i + 1 - CONTEXT), F.least(i, F.lit(CONTEXT)))
-        right = F.slice(w, i + 2, F.lit(CONTEXT))
-        return F.array_join(F.concat(left, F.array(F.concat(F.lit("<"), F.element_at(w, i + 1), F.lit(">"))), right), " ")
+        places = F.sequence(F.greatest(F.lit(0), i - reach), F.least(F.size(w) - 1, i + reach))
+        return F.array_join(F.transform(places, lambda j: F.when(
+            j == i, F.concat(F.lit("<"), F.get(w, j), F.lit(">"))).otherwise(F.get(w, j))), " ")
+
+    def matches(text: Column, word: Column) -> Column:
+        """(match, priority, label) of the word's rules; each rule is an expression of its own, compiled once."""
+        out = None
+        for k in keywords:
+            tried_ = F.array(*(F.struct(F.regexp_extract(text, r, 0).alias("m"), F.lit(p).alias("priority"), F.lit(x).alias("label"))
+                               for p, r, x in by_keyword[k]))
+            out = F.when(word == k, tried_) if out is None else out.when(word == k, tried_)
+        return F.filter(out, lambda x: x["m"] != "")
 
     def tried(w: Column, i: Column) -> Column:
-        word = F.element_at(w, i + 1)
-        found = F.transform(F.array(around(w, i)), lambda text: F.filter(F.transform(
-            F.filter(listed, lambda r: r["keyword"] == word),
-            lambda r: F.struct(F.call_function("regexp_extract", text, r["rule"], F.lit(0)).alias("m"), r["priority"].alias("priority"),
-                               r["label"].alias("label"))), lambda x: x["m"] != ""))[0]
+        found = F.transform(F.array(around(w, i)), lambda text: matches(text, F.element_at(w, i + 1)))[0]
         before = lambda m: _spaces(F.substring_index(m, "<", 1)).cast("int")
         return F.transform(found, lambda x: F.struct(
             (i - before(x["m"])).alias("start"),
             (-(i - before(x["m"]) + _spaces(x["m"]).cast("int") + 1)).alias("neg_end"), x["priority"], x["label"]))
 
     def swept(found: Column) -> Column:
-        def step(kept: Column, d: Column) -> Column:
-            last = F.element_at(kept, -1)
-            free = (F.size(kept) == 0) | (d["start"] >= -F.try_element_at(kept, F.lit(-1))["neg_end"])
-            return F.when(free, F.concat(kept, F.array(d))).when(
-                d["priority"] < last["priority"],
-                F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(d))).when(
+        """The state holds finished lists and a short one that ends with the last detection kept, so that a step
+        copies few."""
+        def step(state: Column, d: Column) -> Column:
+            cur = state["cur"]
+            last = F.element_at(cur, -1)
+            free = (F.size(cur) == 0) | (d["start"] >= -F.try_element_at(cur, F.lit(-1))["neg_end"])
+            kept = F.when(free, F.concat(cur, F.array(d))).when(
+                d["priority"] < last["priority"], F.concat(F.slice(cur, 1, F.size(cur) - 1), F.array(d))).when(
                 (d["priority"] == last["priority"]) & (d["neg_end"] < last["neg_end"]),
-                F.concat(kept, F.array(d))).otherwise(kept)
-        return F.aggregate(F.array_sort(found), nothing, step)
+                F.concat(cur, F.array(d))).otherwise(cur)
+            # written out twice: a lambda's result is copied, and ``done`` must not be
+            full = F.size(kept) > CHUNK
+            return F.struct(
+                F.when(full, F.concat(state["done"], F.array(F.slice(kept, 1, CHUNK)))).otherwise(state["done"]).alias("done"),
+                F.when(full, F.slice(kept, CHUNK + 1, 1)).otherwise(kept).alias("cur"))
+        start = F.struct(F.array().cast(f"array<array<{kind}>>").alias("done"), nothing.alias("cur"))
+        return F.aggregate(F.array_sort(found), start, step,
+                           lambda a: F.flatten(F.concat(a["done"], F.array(a["cur"]))))
 
     def of(w: Column) -> Column:
         hits = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.element_at(w, i + 1).isin(keywords))
