@@ -11,10 +11,11 @@ pareto_curve pareto_boundaries results_preview simple_forecast stock_adjusted_fo
 training_baseline_mape boosted_features boosted_forecast holt_winters_forecast hw_eligibility ensemble_select
 monthly_forecast quarterly_forecast mape_metrics lead_time_training supplier_risk supplier_features robust_scale
 silhouette supplier_risk_quantile anomaly_features isolation_forest branch_duplicates base_names
-embedding_pairs load_pov load_grn cluster_tiers boosted_score""".split()
+embedding_pairs load_pov load_grn cluster_tiers boosted_score
+load_metrics training_totals hw_recursion""".split()
 
 ROWS_ONLY = {"boosted_train", "boosted_forecast", "holt_winters_forecast", "ensemble_forecast", "supplier_risk",
-             "isolation_forest", "lead_time_training", "training_counts", "report_manifest"}
+             "isolation_forest", "lead_time_training", "training_counts"}
 
 
 def test_entry_runs_and_registries_agree(spark):
