@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from provend import files
 from provend.config import Config
 from provend.operators import aggregates as agg
-from provend.operators import boosting, linking, outliers, ranking, risk, similarity, smoothing
+from provend.operators import boosting, leadtime, linking, outliers, ranking, risk, similarity, smoothing
 from provend.operators import forecast as fc
 from provend.operators import series as ser
 from provend.plans.staging import Staging
@@ -89,6 +89,15 @@ def train(docs: dict[str, DataFrame], cfg: Config = Config(), out_path: str | No
     return materialize(models)
 
 
+def train_lead_times(docs: dict[str, DataFrame], model_path: str, cfg: Config = Config()):
+    """(summary or None, model or None): the lead-time model saved at ``model_path``, trained on the links of the
+    documents where none was ever saved."""
+    links = materialize(linking.link_orders(docs["pov"], docs["grn"], cfg.day_window, cfg.max_qty_ratio))
+    return leadtime.load_or_train(links, agg.lead_time_stats(links, cfg.low_sample_observations), model_path,
+                                  min_rows=cfg.lead_time_min_rows, n_trees=cfg.lead_time_trees, seed=cfg.seed,
+                                  max_depth=cfg.lead_time_depth, max_bins=cfg.lead_time_bins)
+
+
 def load_models(spark: SparkSession, path: str) -> DataFrame | None:
     """The model table last published at ``path``; None if there is none. Raises if it is damaged."""
     version = Store(spark, path).current()

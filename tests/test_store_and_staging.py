@@ -101,6 +101,18 @@ def test_lead_time_model_is_retrained_only_if_there_is_none(spark, tmp_path):
         leadtime.load_or_train(links, stats, path)
 
 
+def test_lead_times_are_trained_from_documents_by_the_configuration(spark, tmp_path, monkeypatch):
+    docs = pipeline.prepare(spark, exports(tmp_path))
+    seen = {}
+    real = pipeline.leadtime.train_lead_time_model
+    monkeypatch.setattr(pipeline.leadtime, "train_lead_time_model", lambda *a, **k: seen.update(k) or real(*a, **k))
+    cfg = pipeline.Config(lead_time_trees=3, lead_time_depth=4, lead_time_bins=16, lead_time_min_rows=20)
+    summary, _ = pipeline.train_lead_times(docs, str(tmp_path / "lead"), cfg)
+    row = summary.first()
+    assert row.n_rows >= 60 and row.status in ("kept", "baseline")
+    assert (seen["n_trees"], seen["max_depth"], seen["max_bins"], seen["min_rows"]) == (3, 4, 16, 20)
+
+
 def exports(tmp_path):
     lines = ["m"] * 6 + [HEADER]
     for v in range(60):
