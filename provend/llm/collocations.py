@@ -47,8 +47,8 @@ MAX_WORDS = 3
 TOP = 2000
 CONTAINED_PERCENT = 50
 SLICE_BYTES = 1 << 18  # bytes hashed at once
-SLICE_WORDS = 1 << 19  # words whose n-grams are counted at once
-BATCH_BYTES = 1 << 22
+SLICE_WORDS = 1 << 18  # words whose n-grams are counted at once
+BATCH_BYTES = 1 << 21
 MAP_BITS = 26  # of the bitmap: 8 MB
 OFFSET_BITS = 31  # of a pointer; texts have less than 2 GB
 
