@@ -184,7 +184,8 @@ class Miner:
                                                          schema=HIT_SCHEMA)
 
         copies = groups.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.tiles - 1).cast("long"))))
-        pairs = copies.join(self.blocks, "tile")
+        # the planner takes the copies for as small as the groups; a broadcast would hold them all on the driver
+        pairs = copies.hint("merge").join(self.blocks, "tile")
         if on is not None:
             pairs = pairs.where(on)
         return pairs.drop("tile", "block", "lmin", "lmax", "glmin", "glmax").mapInArrow(work, HITS)

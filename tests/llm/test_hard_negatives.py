@@ -86,3 +86,13 @@ def test_windows_are_exact_integers():
     for p in (-7, 0, 1, 99, 2 ** 61 + 3):
         a, z = window(p, 80, 100)
         assert 80 * p <= 100 * a and 80 * p > 100 * (a - 1) and 100 * z <= 100 * p < 100 * (z + 1)
+
+
+def test_copies_of_groups_are_not_broadcast(spark):
+    """They grow with groups x tiles, and a broadcast is collected on the driver."""
+    rows = [(i, [float(i % 7), 1.0], i % 3) for i in range(100)]
+    miner = Miner(frame(spark, rows), block_rows=16)
+    assert miner.tiles > 1
+    plan = miner.mine(lambda i: i % 10 == 0)._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [x for x in plan if "Join [tile#" in x]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
